@@ -36,8 +36,8 @@ from .common import shared_dir, table, texts
 
 END_ID = 2
 FRAME_BYTES = 1 << 18
-FILE_BYTES = 1 << 25
-CACHE = 400_000  # words whose ids a Python worker keeps
+FILE_BYTES = 1 << 24
+CACHE = 300_000  # words of one generation of the cache; a Python worker keeps two generations
 NULL_KEY = -(2**63)
 
 # Fixed values of the file format.
@@ -45,6 +45,27 @@ _SKIP, _MAGIC = 0x184D2A5E, b"TKSEEK\r\n"
 _FRAME, _DOC, _FOOT = struct.Struct("<IIII"), struct.Struct("<qII"), struct.Struct("<IQQ8s")
 
 
+class _Cache(dict):
+    """Word -> ids; the words of the generation before are kept as long as they are used again."""
+
+    old: dict = {}
+
+    def wanted(self, words: set[str]) -> list[str]:
+        """Makes room, brings back what the older generation has of words, and returns what neither has."""
+        if len(self) > CACHE:
+            kept = {w: self[w] for w in words if w in self}
+            self.old = dict(self)
+            self.clear()
+            self.update(kept)
+        new, old = [], self.old
+        for w in words.difference(self):
+            if w in old:
+                self[w] = old.pop(w)
+            else:
+                new.append(w)
+        return new
+
+
 class Encoder:
     """Ids of texts by a tokenizer file, as little-endian bytes; words between single spaces are encoded once.
 
@@ -62,16 +83,13 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.newline = self._ids("\n")
-        self.first: dict[str, bytes | None] = {}
-        self.spaced: dict[str, bytes | None] = {}
+        self.first, self.spaced = _Cache(), _Cache()
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: set[str], cache: dict, lead: str) -> None:
+    def _learn(self, words: list[str], cache: _Cache, lead: str) -> None:
         """Ids of many words from one text of lines: a line end after a non-space and before a word or its space is a token of its own."""
-        if len(cache) > CACHE:
-            cache.clear()
         plain = []
         for w in words:
             if w and not w[0].isspace() and not w[-1].isspace() and "\n" not in w:
@@ -103,14 +121,8 @@ class Encoder:
             for line in lines or ():
                 first.add(line[0])
                 spaced.update(line[1:])
-        if new := {w for w in first if w not in self.first}:
-            self._learn(new, self.first, "")
-            if missing := {w for w in first if w not in self.first}:
-                self._learn(missing, self.first, "")
-        if new := {w for w in spaced if w not in self.spaced}:
-            self._learn(new, self.spaced, " ")
-            if missing := {w for w in spaced if w not in self.spaced}:
-                self._learn(missing, self.spaced, " ")
+        self._learn(self.first.wanted(first), self.first, "")
+        self._learn(self.spaced.wanted(spaced), self.spaced, " ")
         get_first, get_spaced = self.first.get, self.spaced.get
         for text, lines in zip(batch, split):
             if lines is None:
@@ -138,7 +150,7 @@ def encoder(path: str) -> Encoder:
 
 def write_file(docs: Iterable[tuple[int | None, bytes]]) -> bytes:
     """One file of (key, ids as bytes), without its last byte, which the row's end adds."""
-    squeeze = zstandard.ZstdCompressor(level=3, write_checksum=True)
+    squeeze = zstandard.ZstdCompressor(level=1, write_checksum=True)
     frames, table, body, raw, n = [], [], [], [], 0
     total = 0
 
