@@ -1,12 +1,14 @@
 """The training-data operators' queries and their SQL."""
 
-from . import decontamination, secrets, sharding, tokens, topk
+from . import decontamination, secrets, sharding, simhash, tokens, topk, toxicity
 
 QUERIES = {
     "op2_decontamination": decontamination.query,
     "op3_exact_top_k": topk.query,
     "op4_secret_scan": secrets.query,
     "op5_token_files": tokens.query,
+    "op6_simhash": simhash.query,
+    "op7_toxicity": toxicity.query,
     "op8_sharding": sharding.query,
 }
 
