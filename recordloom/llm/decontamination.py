@@ -29,6 +29,7 @@ from .common import annotate, col, cut, table, texts, without
 WINDOW = 13
 MIN_SHARE = 20  # contaminated if at least one word in 20 is hit
 BLOCK_BYTES = 16 << 20
+_ADDED = ["n_words", "n_hit", "hit_items", "n_items", "contaminated"]
 
 # Word characters are 0-9, a-z after lower-casing, and all beyond ASCII.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -97,7 +98,7 @@ def _probe(seq: list[bytes], index: dict[bytes, list], hits: set[int], items: se
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: int = MIN_SHARE) -> DataFrame:
     """docs with n_words, n_hit, hit_items (sorted array), n_items and contaminated."""
     context = docs.sparkSession.sparkContext
-    out = without(docs, ["n_words", "n_hit", "hit_items", "n_items", "contaminated"])
+    out = without(docs, _ADDED)
     state = out.select("*", F.lit(None).cast("array<int>").alias("__hits"), F.lit(None).cast("array<string>").alias("__items"), F.lit(0).cast("long").alias("__n"))
     number = -1
     for number, block in enumerate(_blocks(benchmark)):
@@ -127,6 +128,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     return state.select(*[col(c) for c in out.columns], F.col("__n").alias("n_words"), n_hit.alias("n_hit"), items.alias("hit_items"), F.size(items).cast("long").alias("n_items"), ((n_hit > 0) & (min_share * n_hit >= F.col("__n"))).alias("contaminated"))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs that aren't contaminated, in their own columns."""
+    own = [c for c in docs.columns if c.lower() in _ADDED]
+    renamed = docs.select(*[col(c).alias(f"__own_{c}" if c in own else c) for c in docs.columns])
+    kept = decontaminate(renamed, benchmark).where(~F.col("contaminated"))
+    return kept.select(*[col(f"__own_{c}").alias(c) if c in own else col(c) for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(texts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "hit_items"), 256).alias("items_sha256"), "contaminated")

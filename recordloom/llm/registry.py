@@ -1,6 +1,6 @@
 """The training-data operators' queries and their SQL."""
 
-from . import decontamination, secrets, sharding, simhash, tokens, topk, toxicity
+from . import decontamination, pieces, secrets, sharding, simhash, tokens, topk, toxicity
 
 QUERIES = {
     "op2_decontamination": decontamination.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_simhash": simhash.query,
     "op7_toxicity": toxicity.query,
     "op8_sharding": sharding.query,
+    "op10_pieces": pieces.query,
 }
 
 ORACLE_SQL = {
