@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+ROWS = 1000  # rows that a Python pass holds as objects at once
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -47,7 +50,7 @@ def annotate(df: DataFrame, inputs: list[str], fn: Callable[..., list], added: s
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kinds = list(to_arrow_schema(new))
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, max(1, whole.num_rows), ROWS)):
             out = fn(*[batch.column(width + k).to_pylist() for k in range(len(inputs))])
             made = [x if isinstance(x, pa.Array) else pa.array(x, kinds[k].type) for k, x in enumerate(out)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made], names=[f.name for f in schema])

@@ -16,7 +16,7 @@ on the unit and an ordered aggregation by document do the same.
 Scores that add up are the rule of unigram models. A file of BPE type holds merge ranks as scores, and
 the highest sum isn't what such a model means (on test texts it agrees for 40 % of distinct units). For
 those files (whole-number scores, none positive) the fold over the same edges joins neighbours by rank:
-`aggregate` holds a unit's borders and drops, again and again, the border inside the best edge between
+`aggregate` holds a unit's borders, as bits, and drops, again and again, the border inside the best edge over two
 neighbours, the leftmost of equals, until none is left. Units of more than LONG characters, for which
 that is quadratic, are joined from a heap in Python with the same result.
 
@@ -42,7 +42,7 @@ MARK = "▁"
 MAX_PIECES = 1 << 20
 MAX_PACKED = 160 << 20
 SEEN = 200_000
-LONG = 64  # characters of a unit that the fold by rank takes
+LONG = 61  # characters of a unit that the fold by rank takes: its borders are the bits of a long
 _UNIT = re.compile(f"\\n|{MARK}*[^{MARK}\\n]+|{MARK}+")
 
 
@@ -63,6 +63,8 @@ class Model:
         self.unknown = min(s for _, _, s in self.pieces) - 10.0
         self.unk_id = sp.unk_id()
         self.ranked = all(s <= 0 and s == int(s) for _, _, s in self.pieces)
+        rank = {s: k for k, s in enumerate(sorted({s for _, _, s in self.pieces}, reverse=True))}
+        self.rows = [(p, i, s, rank[s]) for p, i, s in self.pieces]
         bad = [p for p, _, _ in self.pieces if "\n" in p or MARK in p.lstrip(MARK)]
         if bad:
             raise ValueError(f"pieces that cross units: {bad[:3]}")
@@ -113,27 +115,26 @@ def _walk(n, best):
     return F.aggregate(F.sequence(n, F.lit(1), F.lit(-1)), state, step, lambda s: s["ids"])
 
 
-def _merged(n, edges):
-    """ids after joining neighbours by rank; a fold over at most n - 1 joins."""
-    many = F.filter(edges, lambda e: e["end"] - e["start"] > 1)
+def _merged(unit, edges):
+    """ids after joining neighbours by rank; a fold over at most n - 1 joins.
 
-    def step(s, _):
-        def fits(e):
-            at = F.array_position(s["borders"], e["start"])
-            return (at > 0) & (F.get(s["borders"], (at + 1).cast("int")) == e["end"])
+    An edge is (key, ends, span): key is rank, start and id, so that the least is the best and leftmost, ends
+    and span the bits of its two borders and of all from one to the other. The state holds the borders
+    left; an edge joins two neighbours if it has three of them, its ends among these.
+    """
+    n = F.char_length(unit)
+    many = F.filter(edges, lambda e: F.bit_count(e["span"]) > 2)
+    within = lambda e, borders, k: (F.bit_count(borders.bitwiseAND(e["span"])) == k) & (borders.bitwiseAND(e["ends"]) == e["ends"])
 
-        choice = F.array_max(F.transform(F.filter(many, fits), lambda e: F.struct(e["score"].alias("score"), (-e["start"]).alias("left"), e["end"].alias("end"))))
-        after = lambda c: F.struct(F.filter(s["borders"], lambda x: c.isNull() | (x <= -c["left"]) | (x >= c["end"])).alias("borders"), c.isNull().alias("done"))
+    def step(s, _):
+        choice = F.array_min(F.filter(many, lambda e: within(e, s["borders"], 3)))
+        after = lambda c: F.struct(F.when(c.isNull(), s["borders"]).otherwise(s["borders"].bitwiseAND(F.bitwise_not(c["span"])).bitwiseOR(c["ends"])).alias("borders"), c.isNull().alias("done"))
         return F.when(s["done"], s).otherwise(F.get(F.transform(F.array(choice), after), F.lit(0)))
 
-    first = F.struct(F.sequence(F.lit(0), n).alias("borders"), F.lit(False).alias("done"))
+    first = F.struct((F.expr(f"shiftleft(2L, char_length({unit}))") - F.lit(1)).cast("long").alias("borders"), F.lit(False).alias("done"))
     borders = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), first, step, lambda s: s["borders"])
-
-    def pick(pair):
-        return F.get(F.filter(edges, lambda e: (e["start"] == pair["a"]) & (e["end"] == pair["b"])), F.lit(0))["ids"]
-
-    pairs = lambda b: F.arrays_zip(F.slice(b, F.lit(1), F.size(b) - 1).alias("a"), F.slice(b, F.lit(2), F.size(b) - 1).alias("b"))
-    return F.get(F.transform(F.array(borders), lambda b: F.flatten(F.transform(pairs(b), pick))), F.lit(0))
+    left = F.get(F.transform(F.array(borders), lambda b: F.filter(edges, lambda e: within(e, b, 2))), F.lit(0))
+    return F.transform(F.array_sort(F.transform(left, lambda e: F.struct(e["ends"], e["key"]))), lambda e: e["key"])
 
 
 def merge(unit: str, pieces: dict[str, tuple[int, float]], spelled: dict[int, int], unknown: int) -> list[int]:
@@ -180,7 +181,7 @@ def _merge_long(model: Model):
 def lattice(units: DataFrame, model: Model) -> DataFrame:
     """unit, ids of each distinct row of units (unit)."""
     spark = units.sparkSession
-    pieces = spark.createDataFrame(model.pieces, "piece string, id int, score double")
+    pieces = spark.createDataFrame(model.rows, "piece string, id int, score double, rank int")
     n = F.char_length("unit")
     units = units.distinct()
     short = units.where(n <= LONG) if model.ranked else units
@@ -188,14 +189,25 @@ def lattice(units: DataFrame, model: Model) -> DataFrame:
     spans = starts.select("unit", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + model.longest, n))).alias("end"))
     spans = spans.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("end") - F.col("start")))
     found = spans.join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | (F.col("end") == F.col("start") + 1))
-    code = F.hex(F.encode("piece", "UTF-8"))
     table_of_bytes = F.array(*[F.lit(model.bytes.get(b, model.unk_id)) for b in range(256)])
-    spelled = F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda k: F.get(table_of_bytes, F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int")))
-    ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(spelled)
+
+    def spelled(piece):
+        code = F.hex(F.encode(piece, "UTF-8"))
+        return F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda k: F.get(table_of_bytes, F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int")))
+
+    if model.ranked:
+        key = F.coalesce(F.expr("shiftleft(CAST(rank AS long), 26) | shiftleft(start, 20) | id"), -F.col("start").cast("long") - 1)
+        span = F.expr("shiftleft(shiftleft(2L, end - start) - 1, start)")
+        edge = F.struct(key.alias("key"), F.expr("shiftleft(1L, start) | shiftleft(1L, end)").alias("ends"), span.alias("span"))
+        edges = found.groupBy("unit").agg(F.collect_list(edge).alias("edges"))
+        keys = edges.select("unit", _merged("unit", F.col("edges")).alias("keys"))
+        plain = F.transform("keys", lambda k: k.bitwiseAND(F.lit(MAX_PIECES - 1)).cast("int"))
+        mixed = F.flatten(F.transform("keys", lambda k: F.when(k >= 0, F.array(k.bitwiseAND(F.lit(MAX_PIECES - 1)).cast("int"))).otherwise(spelled(F.substring(F.col("unit"), (-k).cast("int"), F.lit(1))))))
+        ids = F.when(F.array_min("keys") >= 0, plain).otherwise(mixed)
+        return keys.select("unit", ids.alias("ids")).unionAll(units.where(n > LONG).mapInArrow(_merge_long(model), "unit string, ids array<int>"))
+    ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(spelled(F.col("piece")))
     edge = F.struct("end", "start", F.coalesce("score", F.lit(model.unknown)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"), ids.alias("ids"))
     edges = found.groupBy("unit").agg(F.collect_list(edge).alias("edges"))
-    if model.ranked:
-        return edges.select("unit", _merged(n, F.col("edges")).alias("ids")).unionAll(units.where(n > LONG).mapInArrow(_merge_long(model), "unit string, ids array<int>"))
     best = edges.select("unit", _best(n, F.col("edges")).alias("best"))
     return best.select("unit", _walk(n, F.col("best")).alias("ids"))
 
