@@ -42,6 +42,7 @@ MARK = "▁"
 MAX_PIECES = 1 << 20
 MAX_PACKED = 160 << 20
 SEEN = 200_000
+CACHE = 100_000  # units of one generation of a Python worker's cache
 LONG = 61  # characters of a unit that the fold by rank takes: its borders are the bits of a long
 _UNIT = re.compile(f"\\n|{MARK}*[^{MARK}\\n]+|{MARK}+")
 
@@ -179,13 +180,12 @@ def _merge_long(model: Model):
 
 
 def lattice(units: DataFrame, model: Model) -> DataFrame:
-    """unit, ids of each distinct row of units (unit)."""
+    """unit, ids of each row of units (unit: distinct, not empty)."""
     spark = units.sparkSession
     pieces = spark.createDataFrame(model.rows, "piece string, id int, score double, rank int")
     n = F.char_length("unit")
-    units = units.distinct()
     short = units.where(n <= LONG) if model.ranked else units
-    starts = short.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    starts = short.repartition("unit").select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
     spans = starts.select("unit", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + model.longest, n))).alias("end"))
     spans = spans.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("end") - F.col("start")))
     found = spans.join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | (F.col("end") == F.col("start") + 1))
@@ -218,7 +218,11 @@ def _pack(batches):
             part = batch.slice(at, 20_000)
             hashes = np.fromiter((xxhash.xxh3_64_intdigest(u) for u in part.column(0).to_pylist()), np.uint64, part.num_rows)
             ids = part.column(1)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (hashes, np.diff(ids.offsets.to_numpy()).astype("<u2"), ids.flatten().to_numpy().astype("<u4"))], names=["hashes", "sizes", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (hashes, np.diff(ids.offsets.to_numpy()).astype("<u2"), ids.flatten().to_numpy().astype("<i4"))], names=["hashes", "sizes", "ids"])
+
+
+def _short(ids: np.ndarray) -> np.ndarray:
+    return ids.astype(np.uint16) if ids.max(initial=0) < 1 << 16 else ids
 
 
 def _packed(known: DataFrame):
@@ -226,7 +230,7 @@ def _packed(known: DataFrame):
     size = known.agg(F.count("*"), F.sum(F.size("ids")), F.max(F.size("ids"))).first()
     if not size[0] or 12 * size[0] + 4 * size[1] > MAX_PACKED or size[2] >= 1 << 16:
         return None
-    parts = [(np.frombuffer(r.hashes, "<u8"), np.frombuffer(r.sizes, "<u2"), np.frombuffer(r.ids, "<u4")) for r in known.mapInArrow(_pack, "hashes binary, sizes binary, ids binary").toLocalIterator()]
+    parts = [(np.frombuffer(r.hashes, "<u8"), np.frombuffer(r.sizes, "<u2"), _short(np.frombuffer(r.ids, "<i4"))) for r in known.mapInArrow(_pack, "hashes binary, sizes binary, ids binary").toLocalIterator()]
     hashes, sizes, ids = (np.concatenate(x) for x in zip(*parts))
     del parts
     offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[:-1].astype(np.uint32)
@@ -237,31 +241,38 @@ def _packed(known: DataFrame):
     return hashes, offsets[order], sizes[order], ids
 
 
-def _assemble(docs: DataFrame, packed) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(packed)
+def _text(ids, names: list[bytes]) -> str:
+    return b"".join(map(names.__getitem__, ids)).decode("utf-8", "replace")[1:]
+
+
+def _assemble(docs: DataFrame, packed, names, decoded: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast((packed, names))
 
     def run(text):
         from .tokens import _Cache
 
-        hashes, offsets, sizes, ids = shared.value
+        (hashes, offsets, sizes, ids), spelling = shared.value
         known = _cache.setdefault("units", _Cache())
-        out, counts = [], []
-        for at in range(0, len(text), 500):
-            split = [units_of(t) for t in text[at : at + 500]]
+        known.limit = CACHE
+        out, counts, back = [], [], []
+        for at in range(0, len(text), 250):
+            split = [units_of(t) for t in text[at : at + 250]]
             new = known.wanted({u for units in split for u in units})
             places = np.searchsorted(hashes, np.fromiter((xxhash.xxh3_64_intdigest(u) for u in new), np.uint64, len(new)))
             for u, a, n in zip(new, offsets[places].tolist(), sizes[places].tolist()):
-                known[u] = ids[a : a + n].tobytes()
+                known[u] = ids[a : a + n].astype("<u4").tobytes()
             for units in split:
                 data = b"".join(map(known.__getitem__, units))
                 out.append(data)
                 counts.append(len(data) // 4)
+                if spelling:
+                    back.append(_text(np.frombuffer(data, "<u4").tolist(), spelling))
         flat = pa.py_buffer(b"".join(out))
         ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, flat]))
-        return [lists, counts]
+        return [lists, counts, back] if spelling else [lists, counts]
 
-    return annotate(docs, ["text"], run, "ids array<int>, n_pieces long")
+    return annotate(docs, ["text"], run, "ids array<int>, n_pieces long" + (f", {decoded} string" if decoded else ""))
 
 
 _cache: dict = {}
@@ -277,26 +288,31 @@ def _joined(docs: DataFrame, known: DataFrame) -> DataFrame:
     return out.withColumn("ids", F.coalesce("ids", F.array().cast("array<int>"))).withColumn("n_pieces", F.size("ids").cast("long"))
 
 
-def encode(docs: DataFrame, model_path: str) -> DataFrame:
-    """docs with ids (array<int>) and n_pieces (long)."""
+def encode(docs: DataFrame, model_path: str, decoded: str = "") -> DataFrame:
+    """docs with ids (array<int>) and n_pieces (long); with `decoded`, also what decoding the ids gives, in a column of that name."""
     model = Model(model_path)
-    known = cut(lattice(docs.select("text").mapInArrow(_distinct, "unit string"), model))
+    units = cut(docs.select("text").mapInArrow(_distinct, "unit string").distinct())
+    known = cut(lattice(units, model))
     packed = _packed(known)
+    names = _bytes_of(model) if decoded else None
     if packed is None:
-        return _joined(docs, known)
-    return _assemble(docs, packed)
+        out = _joined(docs, known)
+        return _decoded(out, names, decoded) if decoded else out
+    return _assemble(docs, packed, names, decoded)
 
 
-def decode(rows: DataFrame, model_path: str, added: str = "decoded") -> DataFrame:
-    """rows (with ids) with their text."""
-    model = Model(model_path)
+def _bytes_of(model: Model) -> list[bytes]:
     spelled = {i: b for b, i in model.bytes.items()}
-    names = [bytes([spelled[i]]) if i in spelled else name.replace(MARK, " ").encode() for i, name in enumerate(model.names)]
+    return [bytes([spelled[i]]) if i in spelled else name.replace(MARK, " ").encode() for i, name in enumerate(model.names)]
+
+
+def _decoded(rows: DataFrame, names: list[bytes], added: str) -> DataFrame:
+    return annotate(rows, ["ids"], lambda ids: [[_text(x or (), names) for x in ids]], f"{added} string")
 
-    def run(ids):
-        return [[b"".join(map(names.__getitem__, x or ())).decode("utf-8", "replace")[1:] for x in ids]]
 
-    return annotate(rows, ["ids"], run, f"{added} string")
+def decode(rows: DataFrame, model_path: str, added: str = "decoded") -> DataFrame:
+    """rows (with ids) with their text."""
+    return _decoded(rows, _bytes_of(Model(model_path)), added)
 
 
 def encoded(docs: DataFrame) -> DataFrame:
@@ -304,7 +320,7 @@ def encoded(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    out = decode(encode(texts(docs), path), path)
+    out = encode(texts(docs), path, "decoded")
     return out.select("doc_id", "n_pieces", "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 

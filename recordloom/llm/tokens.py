@@ -49,10 +49,11 @@ class _Cache(dict):
     """Word -> ids; the words of the generation before are kept as long as they are used again."""
 
     old: dict = {}
+    limit = CACHE
 
     def wanted(self, words: set[str]) -> list[str]:
         """Makes room, brings back what the older generation has of words, and returns what neither has."""
-        if len(self) > CACHE:
+        if len(self) > self.limit:
             kept = {w: self[w] for w in words if w in self}
             self.old = dict(self)
             self.clear()
