@@ -185,7 +185,8 @@ def lattice(units: DataFrame, model: Model) -> DataFrame:
     pieces = spark.createDataFrame(model.rows, "piece string, id int, score double, rank int")
     n = F.char_length("unit")
     short = units.where(n <= LONG) if model.ranked else units
-    starts = short.repartition("unit").select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a unit's edges are tens of rows: smaller parts sort in memory
+    starts = short.repartition(parts, "unit").select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
     spans = starts.select("unit", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + model.longest, n))).alias("end"))
     spans = spans.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("end") - F.col("start")))
     found = spans.join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | (F.col("end") == F.col("start") + 1))
