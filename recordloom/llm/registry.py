@@ -1,8 +1,9 @@
 """The training-data operators' queries and their SQL."""
 
-from . import decontamination, pieces, secrets, sharding, simhash, tokens, topk, toxicity
+from . import decontamination, passages, pieces, secrets, sharding, simhash, substrings, tokens, topk, toxicity
 
 QUERIES = {
+    "op1_substring_dedup": substrings.query,
     "op2_decontamination": decontamination.query,
     "op3_exact_top_k": topk.query,
     "op4_secret_scan": secrets.query,
@@ -10,10 +11,12 @@ QUERIES = {
     "op6_simhash": simhash.query,
     "op7_toxicity": toxicity.query,
     "op8_sharding": sharding.query,
+    "op9_passage_dedup": passages.query,
     "op10_pieces": pieces.query,
 }
 
 ORACLE_SQL = {
     "op2_decontamination": decontamination.SQL,
     "op3_exact_top_k": topk.SQL,
+    "op9_passage_dedup": passages.SQL,
 }
