@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import annotate, table, texts
 from .repeats import merged, repeated_spans
 
-WINDOW, K = 13, 5
+WINDOW, K = 13, 7
 
 
 def words_of(text: str) -> list[bytes]:

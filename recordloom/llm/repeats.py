@@ -107,6 +107,8 @@ def _segments(items_of: Callable, k: int, window: int, width: int):
             for part in _chunks(batch, 200):
                 rows = []
                 for doc, mark, text, places in zip(*(c.to_pylist() for c in part.columns)):
+                    if places is None:
+                        continue
                     items = items_of(text)
                     n, data = len(items), (items.astype(np.uint8) if width == 1 else items).tobytes()
                     for p in places:
@@ -162,11 +164,13 @@ def repeated_spans(docs: DataFrame, items_of: Callable, k: int, window: int, wid
     rows = compared.mapInArrow(_anchor_rows(items_of, k, window), "anchor long, doc_id long, mark long, at int")
     shared = rows.repartition(parts, "anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(_shared, "anchor long, doc_id long, mark long, at int")
     places = shared.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("anchor", "at")).alias("places"))
-    around = compared.dropDuplicates(["doc_id", "mark"]).join(places, ["doc_id", "mark"]).select("doc_id", "mark", "text", "places")
+    # One exchange of the texts serves both joins: nothing is filtered below it.
+    dealt = named.repartition("doc_id", "mark")
+    around = dealt.join(places, ["doc_id", "mark"], "left").select("doc_id", "mark", "text", "places")
     segments = around.mapInArrow(_segments(items_of, k, window, width), "anchor long, doc_id long, mark long, first int, segment binary")
     hits = segments.repartition(parts, "anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(_hits(window, width), "doc_id long, mark long, start int, end int")
     spans = hits.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    return named.join(spans, ["doc_id", "mark"], "left").drop("mark")
+    return dealt.join(spans, ["doc_id", "mark"], "left").drop("mark")
 
 
 def merged(spans) -> list[tuple[int, int]]:
