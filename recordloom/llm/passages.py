@@ -1,8 +1,8 @@
 """Substring dedup on words: removes each word covered by a window of 13 that also starts in a document of smaller id.
 
 Words are runs of characters other than space and \\t to \\r, unchanged; windows are judged on the input.
-Method: see repeats.py (anchored windows compared whole, as the 64-bit hashes of their 13 words) and the
-README on why it isn't recompression.
+Method: recompression names every window by one of its interior symbols (symbols.py); names that documents share
+are kept, and the windows under them are verified by a second hash of all 13 words (repeats.py).
 
 Edge cases: null and empty texts and texts of fewer than 13 words lose nothing; documents without an id, or of
 equal ids, are no smaller than each other; equal rows have equal results.
@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import annotate, table, texts
 from .repeats import merged, repeated_spans
+from .symbols import digests, window_names
 
-WINDOW, K = 13, 7
+WINDOW = 13
 
 
 def words_of(text: str) -> list[bytes]:
@@ -31,6 +32,14 @@ def items_of(text: str) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def names_of(text: str) -> np.ndarray:
+    return window_names(items_of(text), WINDOW)
+
+
+def told_of(text: str) -> bytes:
+    return digests(items_of(text), WINDOW).tobytes()
+
+
 def drop_passages(docs: DataFrame) -> DataFrame:
     """doc_id, text, n_words, n_removed and kept (the words left, joined by a space)."""
 
@@ -47,7 +56,7 @@ def drop_passages(docs: DataFrame) -> DataFrame:
             kept.append(b" ".join(parts).decode("utf-8", "surrogatepass"))
         return [sizes, removed, kept]
 
-    return annotate(repeated_spans(docs, items_of, K, WINDOW, 8), ["text", "spans"], run, "n_words long, n_removed long, kept string").drop("spans")
+    return annotate(repeated_spans(docs, names_of, told_of, WINDOW, 8, 8), ["text", "spans"], run, "n_words long, n_removed long, kept string").drop("spans")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,11 @@
 """Windows of a fixed length that also start in a document with a smaller id: shared by the byte and the word operators.
 
-1. Anchors: a document's items are hashed k at a time; a position is an anchor if its hash is the least of
-   some window's. Equal windows have equal anchors at equal offsets, and every window has one.
-2. (anchor, document, position) rows are partitioned and sorted by anchor; anchors of one document alone
-   are let go, in a stream, so that a very common anchor needs no memory.
-3. Around each anchor that is left, the items of all windows over it are partitioned by anchor and sorted
-   by document; windows are compared whole, and those that a smaller document holds are hits.
+1. Names: every window gets a 64-bit name that depends on its items alone (see least_grams and symbols.py).
+   Consecutive windows of one name are one run.
+2. (name, document) pairs are partitioned and sorted by name; names of one document alone are let go, in a
+   stream, so that a very common name needs no memory. The names left go back to their documents.
+3. For each run of a name that is left, what tells its windows apart is partitioned by name and sorted by
+   document; windows are compared one by one, and those that a smaller document holds are hits.
 4. Hits are gathered by document.
 
 Documents are named by id and a hash of their text, so that rows that share an id stay apart; rows that are
@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _MULTIPLIER
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * MULTIPLIER
     return x ^ (x >> np.uint64(29))
 
 
@@ -39,22 +39,21 @@ def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
     return x
 
 
-def anchors(items: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the anchors of items (uint64); none if they're fewer than a window."""
+def least_grams(items: np.ndarray, k: int, window: int) -> np.ndarray:
+    """The name of each window: the least of the hashes of its runs of k items."""
     n = len(items)
     if n < window:
-        return np.array([], dtype=np.int64), np.array([], dtype=np.uint64)
+        return np.array([], dtype=np.uint64)
     h = np.zeros(n - k + 1, dtype=np.uint64)
-    mixed = _mixed(items + np.uint64(1))
+    letters = mixed(items + np.uint64(1))
     for j in range(k):
-        h = h * _MULTIPLIER + mixed[j : n - k + 1 + j]
-    h = _mixed(h)
-    width = window - k + 1
-    low = _slide(h, width, np.minimum)
-    edge = np.zeros(width - 1, dtype=np.uint64)
-    high = _slide(np.concatenate([edge, low, edge]), width, np.maximum)
-    at = np.nonzero(high == h)[0]
-    return at, h[at]
+        h = h * MULTIPLIER + letters[j : n - k + 1 + j]
+    return _slide(mixed(h), window - k + 1, np.minimum)
+
+
+def _runs(names: np.ndarray) -> np.ndarray:
+    """Where consecutive windows take another name."""
+    return np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.array([], dtype=np.int64)
 
 
 def _chunks(batch, size: int = 500):
@@ -62,20 +61,19 @@ def _chunks(batch, size: int = 500):
         yield batch.slice(at, size)
 
 
-def _anchor_rows(items_of: Callable, k: int, window: int):
+def _name_rows(names_of: Callable):
     def run(batches):
         for batch in batches:
             for part in _chunks(batch):
-                ids, marks, texts = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2).to_pylist()
-                found = [anchors(items_of(t), k, window) for t in texts]
-                sizes = [len(a) for a, _ in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for _, h in found]).view(np.int64)), pa.array(np.repeat(ids, sizes)), pa.array(np.repeat(marks, sizes)), pa.array(np.concatenate([a for a, _ in found]).astype(np.int32))], names=["anchor", "doc_id", "mark", "at"])
+                ids, texts = part.column(0).to_numpy(), part.column(1).to_pylist()
+                found = [np.unique(names_of(t)) for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(ids, [len(x) for x in found]))], names=["name", "doc_id"])
 
     return run
 
 
 def _shared(batches):
-    """Rows of anchors that lie in documents of different ids; batches are sorted by anchor, then document."""
+    """Rows of names that lie in documents of different ids; batches are sorted by name, then document."""
     held, known = None, False  # the last group's first row, and whether it's known to be shared
     for batch in batches:
         if not batch.num_rows:
@@ -101,43 +99,43 @@ def _shared(batches):
             held, known = batch.slice(last, 1), True
 
 
-def _segments(items_of: Callable, k: int, window: int, width: int):
+def _segments(names_of: Callable, told_of: Callable, size: int, stride: int):
     def run(batches):
         for batch in batches:
             for part in _chunks(batch, 200):
                 rows = []
-                for doc, mark, text, places in zip(*(c.to_pylist() for c in part.columns)):
-                    if places is None:
+                for doc, mark, text, shared in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3)):
+                    if not shared.is_valid:
                         continue
-                    items = items_of(text)
-                    n, data = len(items), (items.astype(np.uint8) if width == 1 else items).tobytes()
-                    for p in places:
-                        first, last = max(0, p["at"] + k - window), min(p["at"], n - window)
-                        rows.append((p["anchor"], doc, mark, first, data[first * width : (last + window) * width]))
+                    names = names_of(text)
+                    starts = _runs(names)
+                    ends = np.append(starts[1:], len(names))
+                    kept = np.isin(names[starts].view(np.int64), shared.values.to_numpy())
+                    data = told_of(text)
+                    for name, first, end in zip(names[starts[kept]].view(np.int64).tolist(), starts[kept].tolist(), ends[kept].tolist()):
+                        rows.append((name, doc, mark, first, data[first * stride : (end - 1) * stride + size]))
                 cols = list(zip(*rows)) if rows else [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["anchor", "doc_id", "mark", "first", "segment"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["name", "doc_id", "mark", "first", "segment"])
 
     return run
 
 
-def _hits(window: int, width: int):
-    size = window * width
-
+def _hits(window: int, size: int, stride: int):
     def run(batches):
-        anchor, whole, first_doc = None, {}, {}
+        name, whole, first_doc = None, {}, {}
         for batch in batches:
             out = []
             for h, doc, mark, first, segment in zip(*(c.to_pylist() for c in batch.columns)):
-                if h != anchor:
-                    anchor, whole, first_doc = h, {}, {}
-                n = (len(segment) - size) // width + 1
+                if h != name:
+                    name, whole, first_doc = h, {}, {}
+                n = (len(segment) - size) // stride + 1
                 before = whole.setdefault(segment, doc)
                 if before < doc:
                     out.append((doc, mark, first, first + n - 1 + window))
                     continue
                 begin = None
                 for k in range(n):
-                    if first_doc.setdefault(segment[k * width : k * width + size], doc) < doc:
+                    if first_doc.setdefault(segment[k * stride : k * stride + size], doc) < doc:
                         if begin is None:
                             begin = k
                     elif begin is not None:
@@ -156,19 +154,23 @@ def marked(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
 
 
-def repeated_spans(docs: DataFrame, items_of: Callable, k: int, window: int, width: int) -> DataFrame:
-    """docs (doc_id, text) with spans: array of (start, end) of items, sorted, overlapping, possibly null."""
+def repeated_spans(docs: DataFrame, names_of: Callable, told_of: Callable, window: int, size: int, stride: int) -> DataFrame:
+    """docs (doc_id, text) with spans: array of (start, end) of items, sorted, overlapping, possibly null.
+
+    names_of(text) is the array of its windows' names. told_of(text) is bytes: those that tell window i from
+    others of its name are `size` bytes from i * stride on.
+    """
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = marked(docs)
-    compared = named.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= window))
-    rows = compared.mapInArrow(_anchor_rows(items_of, k, window), "anchor long, doc_id long, mark long, at int")
-    shared = rows.repartition(parts, "anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(_shared, "anchor long, doc_id long, mark long, at int")
-    places = shared.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("anchor", "at")).alias("places"))
+    compared = named.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= window)).select("doc_id", "text")
+    rows = compared.mapInArrow(_name_rows(names_of), "name long, doc_id long")
+    shared = rows.repartition(parts, "name").sortWithinPartitions("name", "doc_id").mapInArrow(_shared, "name long, doc_id long")
+    names = shared.groupBy("doc_id").agg(F.collect_list("name").alias("names"))
     # One exchange of the texts serves both joins: nothing is filtered below it.
-    dealt = named.repartition("doc_id", "mark")
-    around = dealt.join(places, ["doc_id", "mark"], "left").select("doc_id", "mark", "text", "places")
-    segments = around.mapInArrow(_segments(items_of, k, window, width), "anchor long, doc_id long, mark long, first int, segment binary")
-    hits = segments.repartition(parts, "anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(_hits(window, width), "doc_id long, mark long, start int, end int")
+    dealt = named.repartition("doc_id")
+    around = dealt.join(names, "doc_id", "left").select("doc_id", "mark", "text", "names")
+    segments = around.mapInArrow(_segments(names_of, told_of, size, stride), "name long, doc_id long, mark long, first int, segment binary")
+    hits = segments.repartition(parts, "name").sortWithinPartitions("name", "doc_id").mapInArrow(_hits(window, size, stride), "doc_id long, mark long, start int, end int")
     spans = hits.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
     return dealt.join(spans, ["doc_id", "mark"], "left").drop("mark")
 

@@ -16,13 +16,17 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import annotate, table, texts
-from .repeats import merged, repeated_spans
+from .repeats import least_grams, merged, repeated_spans
 
 WINDOW, K = 50, 20
 
 
-def items_of(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.uint64)
+def data_of(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+def names_of(text: str) -> np.ndarray:
+    return least_grams(np.frombuffer(data_of(text), dtype=np.uint8).astype(np.uint64), K, WINDOW)
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
@@ -31,7 +35,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     def run(text, spans):
         sizes, removed, runs, kept = [], [], [], []
         for t, s in zip(text, spans):
-            data, s, at, parts = t.encode("utf-8", "surrogatepass"), merged(s), 0, []
+            data, s, at, parts = data_of(t), merged(s), 0, []
             for a, b in s:
                 parts.append(data[at:a])
                 at = b
@@ -42,7 +46,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
             kept.append(b"".join(parts))
         return [sizes, removed, runs, kept]
 
-    return annotate(repeated_spans(docs, items_of, K, WINDOW, 1), ["text", "spans"], run, "n_bytes long, n_removed long, n_spans long, kept binary").drop("spans")
+    return annotate(repeated_spans(docs, names_of, data_of, WINDOW, WINDOW, 1), ["text", "spans"], run, "n_bytes long, n_removed long, n_spans long, kept binary").drop("spans")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from recordloom.llm import decontamination, passages, pieces, repeats, secrets, sharding, simhash, substrings, tokens, topk, toxicity
+from recordloom.llm import decontamination, passages, pieces, repeats, secrets, sharding, simhash, substrings, symbols, tokens, topk, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -64,10 +64,18 @@ def test_passages(docs):
         assert (got[key].n_words, got[key].n_removed, got[key].kept.encode()) == (len(x), len(gone), b" ".join(w for i, w in enumerate(x) if i not in gone))
 
 
-def test_every_window_has_an_anchor():
-    x = np.array([RNG.randrange(3) for _ in range(300)], dtype=np.uint64)
-    at, _ = repeats.anchors(x, 5, 13)
-    assert all(any(i <= a <= i + 8 for a in at) for i in range(len(x) - 12))
+@pytest.mark.parametrize("kinds", [1, 2, 3, 1000])
+def test_equal_windows_have_equal_names(kinds):
+    part = [RNG.randrange(kinds) for _ in range(60)]
+    both = [np.array([RNG.randrange(kinds) for _ in range(17)] + part + [RNG.randrange(kinds) for _ in range(k)], dtype=np.uint64) for k in (0, 30)]
+    for name in (lambda x: symbols.window_names(x, 13), lambda x: symbols.digests(x, 13), lambda x: repeats.least_grams(x, 5, 13)):
+        known = {}
+        for x in both:
+            names = name(x).tolist()
+            assert len(names) == len(x) - 12
+            assert all(known.setdefault(tuple(x[i : i + 13].tolist()), n) == n for i, n in enumerate(names))
+    told = {w: n for x in both for w, n in zip((tuple(x[i : i + 13].tolist()) for i in range(len(x) - 12)), symbols.digests(x, 13).tolist())}
+    assert len(set(told.values())) == len(told)
 
 
 def test_decontamination(spark, docs):
