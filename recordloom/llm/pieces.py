@@ -121,21 +121,24 @@ def _merged(unit, edges):
 
     An edge is (key, ends, span): key is rank, start and id, so that the least is the best and leftmost, ends
     and span the bits of its two borders and of all from one to the other. The state holds the borders
-    left; an edge joins two neighbours if it has three of them, its ends among these.
+    left and the edges that may still join: an edge joins two neighbours if it has three of them, its ends
+    among these.
     """
     n = F.char_length(unit)
-    many = F.filter(edges, lambda e: F.bit_count(e["span"]) > 2)
-    within = lambda e, borders, k: (F.bit_count(borders.bitwiseAND(e["span"])) == k) & (borders.bitwiseAND(e["ends"]) == e["ends"])
+    kept = lambda e, borders: borders.bitwiseAND(e["ends"]) == e["ends"]
+    inside = lambda e, borders: F.bit_count(borders.bitwiseAND(e["span"]))
 
     def step(s, _):
-        choice = F.array_min(F.filter(many, lambda e: within(e, s["borders"], 3)))
-        after = lambda c: F.struct(F.when(c.isNull(), s["borders"]).otherwise(s["borders"].bitwiseAND(F.bitwise_not(c["span"])).bitwiseOR(c["ends"])).alias("borders"), c.isNull().alias("done"))
-        return F.when(s["done"], s).otherwise(F.get(F.transform(F.array(choice), after), F.lit(0)))
+        choice = F.array_min(F.filter(s["edges"], lambda e: inside(e, s["borders"]) == 3))
+        joined = lambda c: F.transform(F.array(s["borders"].bitwiseAND(F.bitwise_not(c["span"])).bitwiseOR(c["ends"])), lambda b: F.struct(b.alias("borders"), F.filter(s["edges"], lambda e: kept(e, b) & (inside(e, b) > 2)).alias("edges")))
+        after = lambda c: F.when(c.isNull(), F.struct(s["borders"].alias("borders"), F.slice(s["edges"], 1, 0).alias("edges"))).otherwise(F.get(joined(c), F.lit(0)))
+        return F.when(F.size(s["edges"]) == 0, s).otherwise(F.get(F.transform(F.array(choice), after), F.lit(0)))
 
-    first = F.struct((F.expr(f"shiftleft(2L, char_length({unit}))") - F.lit(1)).cast("long").alias("borders"), F.lit(False).alias("done"))
+    many = F.filter(edges, lambda e: F.bit_count(e["span"]) > 2)
+    first = F.struct((F.expr(f"shiftleft(2L, char_length({unit}))") - F.lit(1)).cast("long").alias("borders"), many.alias("edges"))
     borders = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), first, step, lambda s: s["borders"])
-    left = F.get(F.transform(F.array(borders), lambda b: F.filter(edges, lambda e: within(e, b, 2))), F.lit(0))
-    return F.transform(F.array_sort(F.transform(left, lambda e: F.struct(e["ends"], e["key"]))), lambda e: e["key"])
+    left = F.get(F.transform(F.array(borders), lambda b: F.filter(edges, lambda e: kept(e, b) & (inside(e, b) == 2))), F.lit(0))
+    return F.transform(F.sort_array(F.transform(left, lambda e: F.struct(e["ends"], e["key"]))), lambda e: e["key"])
 
 
 def merge(unit: str, pieces: dict[str, tuple[int, float]], spelled: dict[int, int], unknown: int) -> list[int]:
@@ -182,14 +185,19 @@ def _merge_long(model: Model):
 def lattice(units: DataFrame, model: Model) -> DataFrame:
     """unit, ids of each row of units (unit: distinct, not empty)."""
     spark = units.sparkSession
-    pieces = spark.createDataFrame(model.rows, "piece string, id int, score double, rank int")
+    pieces = spark.createDataFrame(model.rows, "name string, id int, score double, rank int")
+    # A long is looked up several times faster than a string; names are compared after it.
+    hashed = len({xxhash.xxh64_intdigest(p.encode(), 42) for p, *_ in model.rows}) == len(model.rows)
+    key_of = F.xxhash64 if hashed else F.col
     n = F.char_length("unit")
     short = units.where(n <= LONG) if model.ranked else units
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a unit's edges are tens of rows: smaller parts sort in memory
-    starts = short.repartition(parts, "unit").select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    spans = starts.select("unit", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + model.longest, n))).alias("end"))
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a unit's edges are tens of rows: smaller parts sort in memory, by a hash first, which compares faster than units
+    starts = short.repartition(parts, "unit").select(F.xxhash64("unit").alias("sorted"), "unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    spans = starts.select("sorted", "unit", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + model.longest, n))).alias("end"))
     spans = spans.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("end") - F.col("start")))
-    found = spans.join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | (F.col("end") == F.col("start") + 1))
+    met = spans.withColumn("key", key_of("piece")).join(F.broadcast(pieces.withColumn("key", key_of("name"))), "key", "left")
+    same = F.col("name") == F.col("piece")
+    found = met.where(same | (F.col("end") == F.col("start") + 1)).withColumns({c: F.when(same, F.col(c)) for c in ("id", "score", "rank")})
     table_of_bytes = F.array(*[F.lit(model.bytes.get(b, model.unk_id)) for b in range(256)])
 
     def spelled(piece):
@@ -200,7 +208,7 @@ def lattice(units: DataFrame, model: Model) -> DataFrame:
         key = F.coalesce(F.expr("shiftleft(CAST(rank AS long), 26) | shiftleft(start, 20) | id"), -F.col("start").cast("long") - 1)
         span = F.expr("shiftleft(shiftleft(2L, end - start) - 1, start)")
         edge = F.struct(key.alias("key"), F.expr("shiftleft(1L, start) | shiftleft(1L, end)").alias("ends"), span.alias("span"))
-        edges = found.groupBy("unit").agg(F.collect_list(edge).alias("edges"))
+        edges = found.groupBy("sorted", "unit").agg(F.collect_list(edge).alias("edges"))
         keys = edges.select("unit", _merged("unit", F.col("edges")).alias("keys"))
         plain = F.transform("keys", lambda k: k.bitwiseAND(F.lit(MAX_PIECES - 1)).cast("int"))
         mixed = F.flatten(F.transform("keys", lambda k: F.when(k >= 0, F.array(k.bitwiseAND(F.lit(MAX_PIECES - 1)).cast("int"))).otherwise(spelled(F.substring(F.col("unit"), (-k).cast("int"), F.lit(1))))))
@@ -208,7 +216,7 @@ def lattice(units: DataFrame, model: Model) -> DataFrame:
         return keys.select("unit", ids.alias("ids")).unionAll(units.where(n > LONG).mapInArrow(_merge_long(model), "unit string, ids array<int>"))
     ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(spelled(F.col("piece")))
     edge = F.struct("end", "start", F.coalesce("score", F.lit(model.unknown)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"), ids.alias("ids"))
-    edges = found.groupBy("unit").agg(F.collect_list(edge).alias("edges"))
+    edges = found.groupBy("sorted", "unit").agg(F.collect_list(edge).alias("edges"))
     best = edges.select("unit", _best(n, F.col("edges")).alias("best"))
     return best.select("unit", _walk(n, F.col("best")).alias("ids"))
 
