@@ -166,13 +166,15 @@ def repeated_spans(docs: DataFrame, names_of: Callable, told_of: Callable, windo
     rows = compared.mapInArrow(_name_rows(names_of), "name long, doc_id long")
     shared = rows.repartition(parts, "name").sortWithinPartitions("name", "doc_id").mapInArrow(_shared, "name long, doc_id long")
     names = shared.groupBy("doc_id").agg(F.collect_list("name").alias("names"))
-    # One exchange of the texts serves both joins: nothing is filtered below it.
+    # One exchange of the texts serves both joins: nothing is filtered below it, and both are on doc_id alone.
     dealt = named.repartition("doc_id")
     around = dealt.join(names, "doc_id", "left").select("doc_id", "mark", "text", "names")
     segments = around.mapInArrow(_segments(names_of, told_of, size, stride), "name long, doc_id long, mark long, first int, segment binary")
     hits = segments.repartition(parts, "name").sortWithinPartitions("name", "doc_id").mapInArrow(_hits(window, size, stride), "doc_id long, mark long, start int, end int")
-    spans = hits.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    return dealt.join(spans, ["doc_id", "mark"], "left").drop("mark")
+    found = hits.groupBy("doc_id").agg(F.collect_set(F.struct("mark", "start", "end")).alias("found"))
+    own = F.filter("found", lambda s: s["mark"] == F.col("mark"))
+    spans = F.sort_array(F.transform(own, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    return dealt.join(found, "doc_id", "left").select("doc_id", "text", spans.alias("spans"))
 
 
 def merged(spans) -> list[tuple[int, int]]:
