@@ -4,8 +4,8 @@
    Consecutive windows of one name are one run.
 2. (name, document) pairs are partitioned and sorted by name; names of one document alone are let go, in a
    stream, so that a very common name needs no memory. The names left go back to their documents.
-3. For each run of a name that is left, what tells its windows apart is partitioned by name and sorted by
-   document; windows are compared one by one, and those that a smaller document holds are hits.
+3. For each run of a name that is left (equal runs of a document once), what tells its windows apart is
+   partitioned by name and sorted by document; windows are compared one by one, and those that a smaller document holds are hits.
 4. Hits are gathered by document.
 
 Documents are named by id and a hash of their text, so that rows that share an id stay apart; rows that are
@@ -14,6 +14,7 @@ equal share a result. Documents without an id are neither compared nor changed.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -100,6 +101,8 @@ def _shared(batches):
 
 
 def _segments(names_of: Callable, told_of: Callable, size: int, stride: int):
+    """A row for each different run of a document: what tells its windows apart, then the places of its copies there."""
+
     def run(batches):
         for batch in batches:
             for part in _chunks(batch, 200):
@@ -112,10 +115,12 @@ def _segments(names_of: Callable, told_of: Callable, size: int, stride: int):
                     ends = np.append(starts[1:], len(names))
                     kept = np.isin(names[starts].view(np.int64), shared.values.to_numpy())
                     data = told_of(text)
+                    found: dict[tuple[int, bytes], array] = {}
                     for name, first, end in zip(names[starts[kept]].view(np.int64).tolist(), starts[kept].tolist(), ends[kept].tolist()):
-                        rows.append((name, doc, mark, first, data[first * stride : (end - 1) * stride + size]))
+                        found.setdefault((name, data[first * stride : (end - 1) * stride + size]), array("i")).append(first)
+                    rows += [(name, doc, mark, len(firsts), segment + firsts.tobytes()) for (name, segment), firsts in found.items()]
                 cols = list(zip(*rows)) if rows else [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["name", "doc_id", "mark", "first", "segment"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["name", "doc_id", "mark", "times", "segment"])
 
     return run
 
@@ -125,24 +130,26 @@ def _hits(window: int, size: int, stride: int):
         name, whole, first_doc = None, {}, {}
         for batch in batches:
             out = []
-            for h, doc, mark, first, segment in zip(*(c.to_pylist() for c in batch.columns)):
+            for h, doc, mark, times, data in zip(*(c.to_pylist() for c in batch.columns)):
                 if h != name:
                     name, whole, first_doc = h, {}, {}
+                segment, spans, begin = data[: -4 * times], [], None
                 n = (len(segment) - size) // stride + 1
-                before = whole.setdefault(segment, doc)
-                if before < doc:
-                    out.append((doc, mark, first, first + n - 1 + window))
-                    continue
-                begin = None
-                for k in range(n):
-                    if first_doc.setdefault(segment[k * stride : k * stride + size], doc) < doc:
-                        if begin is None:
-                            begin = k
-                    elif begin is not None:
-                        out.append((doc, mark, first + begin, first + k - 1 + window))
-                        begin = None
-                if begin is not None:
-                    out.append((doc, mark, first + begin, first + n - 1 + window))
+                if whole.setdefault(segment, doc) < doc:
+                    spans.append((0, n - 1 + window))
+                else:
+                    for k in range(n):
+                        if first_doc.setdefault(segment[k * stride : k * stride + size], doc) < doc:
+                            if begin is None:
+                                begin = k
+                        elif begin is not None:
+                            spans.append((begin, k - 1 + window))
+                            begin = None
+                    if begin is not None:
+                        spans.append((begin, n - 1 + window))
+                if spans:
+                    firsts = memoryview(data[-4 * times :]).cast("i").tolist()
+                    out += [(doc, mark, first + a, first + b) for first in firsts for a, b in spans]
             cols = list(zip(*out)) if out else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "mark", "start", "end"])
 
@@ -169,7 +176,7 @@ def repeated_spans(docs: DataFrame, names_of: Callable, told_of: Callable, windo
     # One exchange of the texts serves both joins: nothing is filtered below it, and both are on doc_id alone.
     dealt = named.repartition("doc_id")
     around = dealt.join(names, "doc_id", "left").select("doc_id", "mark", "text", "names")
-    segments = around.mapInArrow(_segments(names_of, told_of, size, stride), "name long, doc_id long, mark long, first int, segment binary")
+    segments = around.mapInArrow(_segments(names_of, told_of, size, stride), "name long, doc_id long, mark long, times int, segment binary")
     hits = segments.repartition(parts, "name").sortWithinPartitions("name", "doc_id").mapInArrow(_hits(window, size, stride), "doc_id long, mark long, start int, end int")
     found = hits.groupBy("doc_id").agg(F.collect_set(F.struct("mark", "start", "end")).alias("found"))
     own = F.filter("found", lambda s: s["mark"] == F.col("mark"))
