@@ -7,7 +7,7 @@ the same in every task, so that naming is global and a round needs no exchange.
 Whether a border between symbols of the first round stands depends on the two tokens at it; in the second round, on the
 two symbols at it, so on the tokens from before the left one to after the right one. A symbol of the second
 round is interior to a window that holds all of these for both its borders: equal windows have equal interior
-symbols. Without runs a symbol spells at most 4 tokens and is decided by 10, so that every window of 13 has one.
+symbols, and equal tokens that decide them, which its name takes in. Without runs a symbol spells at most 4 tokens and is decided by 10, so that every window of 13 has one.
 A third round would be decided by up to 22, hence ROUNDS. Windows inside a run, without interior symbols, are named by
 all of their tokens.
 """
@@ -53,7 +53,8 @@ def window_names(tokens: np.ndarray, window: int) -> np.ndarray:
     first = np.concatenate([[0], np.flatnonzero(_stands(spelled.letters)) + 1, [n]])
     second = np.flatnonzero(_stands(spelled(first[:-1], first[1:]))) + 1
     left, right = second[:-1], second[1:]
-    names = mixed(spelled(first[left], first[right]) ^ _SYMBOL)
+    # Named with the tokens that decide it: a few common words alone are shared by chance.
+    names = mixed(spelled(np.maximum(first[left - 1] - 1, 0), np.minimum(first[right + 1] + 1, n)) ^ _SYMBOL)
     # A window holds a symbol if it starts before the neighbour on the left and ends after the one on the right.
     low, high = first[right + 1] + 1 - window, np.minimum(first[left - 1] - 1, n - window)
     most = np.uint64(0xFFFFFFFFFFFFFFFF)
