@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import annotate, cut, table, texts
+from .tokens import Cache
 
 MARK = "▁"
 MAX_PIECES = 1 << 20
@@ -258,20 +259,17 @@ def _assemble(docs: DataFrame, packed, names, decoded: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((packed, names))
 
     def run(text):
-        from .tokens import _Cache
-
         (hashes, offsets, sizes, ids), spelling = shared.value
-        known = _cache.setdefault("units", _Cache())
-        known.limit = CACHE
+        known = _cache.setdefault("units", Cache(CACHE))
         out, counts, back = [], [], []
         for at in range(0, len(text), 250):
-            split = [units_of(t) for t in text[at : at + 250]]
-            new = known.wanted({u for units in split for u in units})
+            known.turn()
+            parts = [list(map(known.__getitem__, units_of(t))) for t in text[at : at + 250]]
+            new = known.taken()
             places = np.searchsorted(hashes, np.fromiter((xxhash.xxh3_64_intdigest(u) for u in new), np.uint64, len(new)))
-            for u, a, n in zip(new, offsets[places].tolist(), sizes[places].tolist()):
-                known[u] = ids[a : a + n].astype("<u4").tobytes()
-            for units in split:
-                data = b"".join(map(known.__getitem__, units))
+            known.learn((u, ids[a : a + n].astype("<u4").tobytes()) for u, a, n in zip(new, offsets[places].tolist(), sizes[places].tolist()))
+            for part in parts:
+                data = b"".join(part)
                 out.append(data)
                 counts.append(len(data) // 4)
                 if spelling:
