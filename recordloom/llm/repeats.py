@@ -40,15 +40,26 @@ def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
     return x
 
 
-def least_grams(items: np.ndarray, k: int, window: int) -> np.ndarray:
-    """The name of each window: the least of the hashes of its runs of k items."""
-    n = len(items)
-    if n < window:
+def _grams(letters: np.ndarray, k: int) -> np.ndarray:
+    """Polynomial hash of each run of k letters, from runs of doubling length."""
+    power, width, runs = MULTIPLIER, 1, letters  # runs: hashes of `width` letters; power: MULTIPLIER ** width
+    done, out = 0, None  # out: hashes of the first `done` letters
+    while True:
+        if k & width:
+            out = runs if out is None else out[: len(runs) - done] * power + runs[done:]
+            done += width
+        if done == k:
+            return out
+        runs = runs[: len(runs) - width] * power + runs[width:]
+        power, width = power * power, width * 2
+
+
+def least_grams(letters: np.ndarray, k: int, window: int) -> np.ndarray:
+    """The name of each window: the least of the hashes of its runs of k letters (64-bit names of items)."""
+    if len(letters) < window:
         return np.array([], dtype=np.uint64)
-    h = np.zeros(n - k + 1, dtype=np.uint64)
-    letters = mixed(items + np.uint64(1))
-    for j in range(k):
-        h = h * MULTIPLIER + letters[j : n - k + 1 + j]
+    with np.errstate(over="ignore"):
+        h = _grams(letters, k)
     return _slide(mixed(h), window - k + 1, np.minimum)
 
 
@@ -67,7 +78,7 @@ def _name_rows(names_of: Callable):
         for batch in batches:
             for part in _chunks(batch):
                 ids, texts = part.column(0).to_numpy(), part.column(1).to_pylist()
-                found = [np.unique(names_of(t)) for t in texts]
+                found = [np.unique(names[_runs(names)]) for names in map(names_of, texts)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(ids, [len(x) for x in found]))], names=["name", "doc_id"])
 
     return run

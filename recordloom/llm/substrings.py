@@ -16,9 +16,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import annotate, table, texts
-from .repeats import least_grams, merged, repeated_spans
+from .repeats import least_grams, merged, mixed, repeated_spans
 
 WINDOW, K = 50, 20
+_LETTERS = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
 def data_of(text: str) -> bytes:
@@ -26,7 +27,7 @@ def data_of(text: str) -> bytes:
 
 
 def names_of(text: str) -> np.ndarray:
-    return least_grams(np.frombuffer(data_of(text), dtype=np.uint8).astype(np.uint64), K, WINDOW)
+    return least_grams(_LETTERS[np.frombuffer(data_of(text), dtype=np.uint8)], K, WINDOW)
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
