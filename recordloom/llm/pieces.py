@@ -89,7 +89,9 @@ def _distinct(batches):
             for text in batch.column(0).slice(at, 1000).to_pylist():
                 found.update(units_of(text))
             found -= seen
-            seen = found if len(seen) > SEEN else seen | found
+            if len(seen) > SEEN:
+                seen = set()
+            seen |= found
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], names=["unit"])
 
 
@@ -251,8 +253,23 @@ def _packed(known: DataFrame):
     return hashes, offsets[order], sizes[order], ids
 
 
-def _text(ids, names: list[bytes]) -> str:
-    return b"".join(map(names.__getitem__, ids)).decode("utf-8", "replace")[1:]
+class _Spelling:
+    """Bytes of all pieces in one array, from which many texts are gathered at once."""
+
+    def __init__(self, names: list[bytes]):
+        self.data = np.frombuffer(b"".join(names), np.uint8)
+        self.sizes = np.array([len(x) for x in names], dtype=np.int32)
+        self.starts = np.cumsum(self.sizes, dtype=np.int32) - self.sizes
+
+    def texts(self, ids: np.ndarray, counts: list[int]) -> list[str]:
+        """Texts of consecutive runs of ids, without the leading space."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        places = np.repeat(self.starts[ids] - (ends - sizes), sizes)
+        places += np.arange(len(places))
+        data = self.data[places].tobytes()
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])].tolist()
+        return [data[a:b].decode("utf-8", "replace")[1:] for a, b in zip(cuts, cuts[1:])]
 
 
 def _assemble(docs: DataFrame, packed, names, decoded: str) -> DataFrame:
@@ -272,8 +289,10 @@ def _assemble(docs: DataFrame, packed, names, decoded: str) -> DataFrame:
                 data = b"".join(part)
                 out.append(data)
                 counts.append(len(data) // 4)
-                if spelling:
-                    back.append(_text(np.frombuffer(data, "<u4").tolist(), spelling))
+            if spelling:
+                at = len(counts) - len(parts)
+                for k in range(at, len(counts), 10):
+                    back += spelling.texts(np.frombuffer(b"".join(out[k : k + 10]), "<u4"), counts[k : k + 10])
         flat = pa.py_buffer(b"".join(out))
         ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, flat]))
@@ -301,7 +320,7 @@ def encode(docs: DataFrame, model_path: str, decoded: str = "") -> DataFrame:
     units = cut(docs.select("text").mapInArrow(_distinct, "unit string").distinct())
     known = cut(lattice(units, model))
     packed = _packed(known)
-    names = _bytes_of(model) if decoded else None
+    names = _Spelling(_bytes_of(model)) if decoded else None
     if packed is None:
         out = _joined(docs, known)
         return _decoded(out, names, decoded) if decoded else out
@@ -313,13 +332,13 @@ def _bytes_of(model: Model) -> list[bytes]:
     return [bytes([spelled[i]]) if i in spelled else name.replace(MARK, " ").encode() for i, name in enumerate(model.names)]
 
 
-def _decoded(rows: DataFrame, names: list[bytes], added: str) -> DataFrame:
-    return annotate(rows, ["ids"], lambda ids: [[_text(x or (), names) for x in ids]], f"{added} string")
+def _decoded(rows: DataFrame, spelling: _Spelling, added: str) -> DataFrame:
+    return annotate(rows, ["ids"], lambda ids: [[spelling.texts(np.array(x or (), dtype=np.int64), [len(x or ())])[0] for x in ids]], f"{added} string")
 
 
 def decode(rows: DataFrame, model_path: str, added: str = "decoded") -> DataFrame:
     """rows (with ids) with their text."""
-    return _decoded(rows, _bytes_of(Model(model_path)), added)
+    return _decoded(rows, _Spelling(_bytes_of(Model(model_path))), added)
 
 
 def encoded(docs: DataFrame) -> DataFrame:
