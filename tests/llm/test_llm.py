@@ -143,6 +143,32 @@ def test_token_files(spark, docs):
     assert zlib.crc32(b"") == 0
 
 
+def test_encoder_on_odd_texts():
+    """Words encoded apart, with a cache that turns over at each batch, against the library on whole texts."""
+    encoder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder.known.limit = 2
+    odd = ["a  b", " a", "a\n", "a\tb c", "a \tb", "a\xa0 b", "a\x1cb \x1c", "\u3000a b", "a\r\nb", "x\n y", "don't they'll X'S 'tis", "x_y (z)... 12³ ½a", "nul\0 a\0b", "中文 é 👍🏽 z", "ǅ ɐ ª_", "\n", " ", ""]
+    for batch in (odd, odd[::-1], [t or "" for t in TEXTS], odd):
+        want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in batch]
+        assert list(encoder.encode(batch)) == want
+
+
+def test_spelling_gathers_texts():
+    """Many texts at once: empty ones, and bytes that are no UTF-8 alone."""
+    names = [b" a", b"\xc3", b"\xa9", b"", b" "]
+    runs = [[], [0, 1, 2], [4, 2], [3], [0]]
+    got = pieces._Spelling(names).texts(np.array([i for r in runs for i in r]), [len(r) for r in runs])
+    assert got == [b"".join(names[i] for i in r).decode("utf-8", "replace")[1:] for r in runs]
+
+
+def test_grams_by_doubling():
+    x = np.array([RNG.getrandbits(64) for _ in range(60)], dtype=np.uint64)
+    for k in (1, 2, 3, 13, 20, 37):
+        plain = [sum(int(x[i + j]) * pow(int(repeats.MULTIPLIER), k - 1 - j, 2**64) for j in range(k)) % 2**64 for i in range(60 - k + 1)]
+        with np.errstate(over="ignore"):
+            assert repeats._grams(x, k).tolist() == plain
+
+
 def test_simhash(docs):
     got = rows_of(simhash.near_groups(docs))
     prints = np.array([simhash.fingerprint(t) for t in TEXTS]).view(np.uint64)
