@@ -190,9 +190,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return rows.join(name, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """docs without those that are linked to a document of a smaller doc_id; their columns unchanged."""
-    kept = near_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
+def near_dedup(docs: DataFrame, groups=near_groups) -> DataFrame:
+    """docs without those that groups() links to a document of a smaller doc_id; their columns unchanged."""
+    kept = groups(docs).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi")
     one = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
     named = named.withColumn("__row", one).where("__row = 1").select(*docs.columns)
