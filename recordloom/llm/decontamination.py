@@ -129,10 +129,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs that aren't contaminated, in their own columns."""
+    """docs without those that hold any benchmark window, however small its share of them, in their own columns."""
     own = [c for c in docs.columns if c.lower() in _ADDED]
     renamed = docs.select(*[col(c).alias(f"__own_{c}" if c in own else c) for c in docs.columns])
-    kept = decontaminate(renamed, benchmark).where(~F.col("contaminated"))
+    kept = decontaminate(renamed, benchmark).where("n_hit = 0")
     return kept.select(*[col(f"__own_{c}").alias(c) if c in own else col(c) for c in docs.columns])
 
 
