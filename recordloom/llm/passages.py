@@ -1,67 +1,102 @@
 """Substring dedup on words: removes each word covered by a window of 13 that also starts in a document of smaller id.
 
-Words are runs of characters other than space and \\t to \\r, unchanged; windows are judged on the input.
-Method: recompression names every window by one of its interior symbols (symbols.py); names that documents share
-are kept, and the windows under them are verified by a second hash of all 13 words (repeats.py).
+Words are runs of bytes other than space and \\t to \\r, unchanged; windows are judged on the input.
+Method: recompression names every window by one of its interior symbols (symbols.py); segments under names that documents
+share are brought together (repeats.py), and their windows are verified as whole words.
 
 Edge cases: null and empty texts and texts of fewer than 13 words lose nothing; documents without an id, or of
-equal ids, are no smaller than each other; equal rows have equal results.
+equal ids, are no smaller than each other; an empty table gives no rows; columns of the input named like an added one are replaced.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import annotate, table, texts
-from .repeats import merged, repeated_spans
-from .symbols import digests, window_names
+from .common import table, texts
+from .repeats import Items, covered_counts, without_repeats
+from .substrings import binary
+from .symbols import spelled, window_names
 
 WINDOW = 13
-
-
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").split()
-
-
-def items_of(text: str) -> np.ndarray:
-    words = words_of(text)
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-
-
-def names_of(text: str) -> np.ndarray:
-    return window_names(items_of(text), WINDOW)
-
-
-def told_of(text: str) -> bytes:
-    return digests(items_of(text), WINDOW).tobytes()
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[32, *range(9, 14)]] = True
+
+
+class Words(Items):
+    """data: the words of all texts, each with a space after it."""
+
+    window = WINDOW
+
+    def __init__(self, text: pa.Array):
+        data, offsets = binary(text)
+        blank = _BLANK[data]
+        ends = ~blank  # of words: the byte after is blank, or the text ends
+        ends[:-1] &= blank[1:]
+        edge = offsets[1:][np.diff(offsets) > 0] - 1
+        ends[edge] = ~blank[edge]
+        # Each word byte once, and a space after each word's last.
+        times = (~blank).astype(np.int8) + ends
+        out = np.repeat(data, times)
+        places = np.cumsum(times, dtype=np.int64)
+        last = places[ends] - 1  # of the spaces
+        out[last] = 32
+        self.data, self.raw = out, out.tobytes()
+        self.begin = np.concatenate([[0], last + 1])  # of each word, and the end
+        self.n = len(last)
+        self.starts = np.concatenate([[0], np.cumsum(ends, dtype=np.int64)])[offsets]
+
+    def names(self, a: int, b: int) -> np.ndarray:
+        begin = self.begin[a : b + WINDOW]
+        return window_names(spelled(self.data[begin[0] : begin[-1]], begin - begin[0]), WINDOW)
+
+    def part(self, first: int, count: int) -> bytes:
+        return self.raw[self.begin[first] : self.begin[first + count + WINDOW - 1] - 1]
+
+
+def judge(segments: list[bytes], names: np.ndarray, least: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+    """Windows of the segments of a name, in order of documents, against those of smaller documents, word for word."""
+    order = np.lexsort((least, names))
+    name, count = names[order], len(order)
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, count), bool), name[1:] != name[:-1]]))
+    out: dict[int, list[tuple[int, int]]] = {}
+    for a, b in zip(first.tolist(), np.append(first[1:], count).tolist()):
+        if least[order[a]] == least[order[b - 1]]:
+            continue
+        known: dict[bytes, int] = {}
+        for k in order[a:b].tolist():
+            segment, doc, spans = segments[k], int(least[k]), []
+            begin = [0, *(np.flatnonzero(np.frombuffer(segment, np.uint8) == 32) + 1).tolist(), len(segment) + 1]
+            for i in range(len(begin) - WINDOW):
+                if known.setdefault(segment[begin[i] : begin[i + WINDOW] - 1], doc) < doc:
+                    if spans and sum(spans[-1]) == i:
+                        spans[-1] = spans[-1][0], spans[-1][1] + 1
+                    else:
+                        spans.append((i, 1))
+            if spans:
+                out[k] = spans
+    return out
+
+
+def finish(items: Words, covered: np.ndarray) -> list[pa.Array]:
+    size, removed, _ = covered_counts(items, covered)
+    sizes = np.diff(items.begin)
+    data = items.data[np.repeat(~covered, sizes)].tobytes()
+    ends = np.concatenate([[0], np.cumsum(np.where(covered, 0, sizes))])[items.starts].tolist()
+    kept = [data[a : max(a, b - 1)] for a, b in zip(ends, ends[1:])]
+    return [pa.array(size), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())]
 
 
 def drop_passages(docs: DataFrame) -> DataFrame:
-    """doc_id, text, n_words, n_removed and kept (the words left, joined by a space)."""
-
-    def run(text, spans):
-        sizes, removed, kept = [], [], []
-        for t, s in zip(text, spans):
-            words, at, parts = words_of(t), 0, []
-            for a, b in merged(s):
-                parts += words[at:a]
-                at = b
-            parts += words[at:]
-            sizes.append(len(words))
-            removed.append(len(words) - len(parts))
-            kept.append(b" ".join(parts).decode("utf-8", "surrogatepass"))
-        return [sizes, removed, kept]
-
-    return annotate(repeated_spans(docs, names_of, told_of, WINDOW, 8, 8), ["text", "spans"], run, "n_words long, n_removed long, kept string").drop("spans")
+    """docs with n_words, n_removed and kept (the words left, joined by a space)."""
+    return without_repeats(docs, Words, judge, finish, "n_words long, n_removed long, kept string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = drop_passages(texts(table(spark, sf_dir, "documents")))
-    return annotate(found, ["kept"], lambda kept: [[hashlib.sha256(k.encode("utf-8", "surrogatepass")).hexdigest() for k in kept]], "kept_sha256 string").select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 SQL = r"""

@@ -16,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_substring_dedup": substrings.SQL,
     "op2_decontamination": decontamination.SQL,
     "op3_exact_top_k": topk.SQL,
     "op9_passage_dedup": passages.SQL,

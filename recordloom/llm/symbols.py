@@ -20,7 +20,7 @@ from .repeats import MULTIPLIER, mixed
 
 ROUNDS = 2
 _INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
-_SYMBOL, _WINDOW = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
+_SYMBOL = np.uint64(0xD1B54A32D192ED03)
 
 
 class _Spelled:
@@ -38,6 +38,11 @@ class _Spelled:
         return mixed((self.sums[e] - self.sums[b]) * self.down[b] + (e - b).astype(np.uint64))
 
 
+def spelled(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """A token for each run of bytes from begin[k] to before begin[k + 1]; equal runs have equal tokens."""
+    return _Spelled(data.astype(np.uint64))(begin[:-1], begin[1:])
+
+
 def _stands(names: np.ndarray) -> np.ndarray:
     """Whether the border between each two neighbours stands after a round."""
     coin = (names >> np.uint64(17)) & np.uint64(1) == 1
@@ -67,9 +72,3 @@ def window_names(tokens: np.ndarray, window: int) -> np.ndarray:
     bare = np.flatnonzero(best == most)
     best[bare] = spelled(bare, bare + window)
     return best
-
-
-def digests(tokens: np.ndarray, window: int) -> np.ndarray:
-    """A second hash of each window, of all its tokens, little-endian."""
-    starts = np.arange(max(0, len(tokens) - window + 1))
-    return mixed(_Spelled(mixed(tokens ^ _WINDOW))(starts, starts + window) ^ _WINDOW).astype("<u8")
