@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import math
+import struct
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,9 @@ from pyspark.sql import types as T
 # The characters that a query is trimmed of.
 BLANKS = "\t\n\v\f\r                  　﻿"
 
+#: The one column name that the engine keeps to itself: a row's position.
+POS = "__recordloom_position"
+
 _WHOLE = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
 
 
@@ -32,6 +36,8 @@ def value_key(value) -> tuple:
         return ("bool", value)
     if isinstance(value, (int, float, Decimal)):
         return ("nan",) if value != value else ("number", value)
+    if isinstance(value, (bytes, bytearray)):
+        return ("bytes", bytes(value))
     return (type(value).__name__, value)
 
 
@@ -47,8 +53,13 @@ def fitting(values, kind: T.DataType) -> list:
         if type(kind) in _WHOLE and number:
             if math.isfinite(v) and v == int(v) and -(2 ** (_WHOLE[type(kind)] - 1)) <= v < 2 ** (_WHOLE[type(kind)] - 1):
                 out.append(int(v))
-        elif isinstance(kind, (T.DoubleType, T.FloatType)) and number:
+        elif isinstance(kind, T.DoubleType) and number:
             out.append(float(v))
+        elif isinstance(kind, T.FloatType) and number:
+            if not math.isfinite(v) or abs(v) < 3.4028235677973366e38:  # beyond that, no float is nearest
+                out.append(struct.unpack("f", struct.pack("f", v))[0])
+        elif isinstance(kind, T.BinaryType) and isinstance(v, (bytes, bytearray)):
+            out.append(bytes(v))
         elif isinstance(kind, T.DecimalType) and number and math.isfinite(v):
             out.append(Decimal(str(v)))
         elif isinstance(kind, T.StringType) and isinstance(v, str) or isinstance(kind, T.BooleanType) and isinstance(v, bool):
@@ -66,7 +77,7 @@ def named(name: str) -> Column:
 
 def flat_field(df: DataFrame, field: str) -> tuple[Column, T.DataType] | None:
     """Column and type of a top-level field; None if there is none, which reads as null everywhere."""
-    if field in df.columns and not field.startswith("_pos"):
+    if field in df.columns and field != POS:
         return named(field), df.schema[field].dataType
     return None
 
@@ -83,4 +94,4 @@ def nested_field(df: DataFrame, path: str) -> tuple[Column, str, T.DataType] | N
 
 
 def text_fields(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and not f.name.startswith("_")]
+    return [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name != POS]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import flat_field, nested_field
+from ..functions.values import POS, flat_field, nested_field
 
 
 def matches(df: DataFrame, field: str, query: str, nested: tuple[str, ...] = ()) -> Column:
@@ -37,16 +37,26 @@ def rank(df: DataFrame, fields: list[str], query: str, nested: tuple[str, ...] =
     return chain.otherwise(F.lit(len(fields))) if fields else F.lit(0)
 
 
-def grams(df: DataFrame, field: str, size: int = 3) -> DataFrame:
-    """gram, _pos: an optional table of a field's distinct substrings of one length, for repeated searches."""
+SIZES = (2, 3)  # letters of the grams of a gram table
+
+
+def grams(df: DataFrame, field: str) -> DataFrame:
+    """gram, position: a table of a field's distinct substrings of 2 and of 3 letters, for repeated searches."""
     low = F.lower(flat_field(df, field)[0])
-    pieces = F.transform(F.sequence(F.lit(1), F.char_length(low) - (size - 1)), lambda k: F.substring(low, k, F.lit(size)))
-    return df.where(F.char_length(low) >= size).select(F.explode(F.array_distinct(pieces)).alias("gram"), "_pos")
+
+    def held(size: int) -> Column:
+        pieces = F.transform(F.sequence(F.lit(1), F.char_length(low) - (size - 1)), lambda k: F.substring(low, k, F.lit(size)))
+        return F.when(F.char_length(low) >= size, pieces).otherwise(F.array().cast("array<string>"))
+
+    return df.where(F.char_length(low) >= SIZES[0]).select(F.explode(F.array_distinct(F.concat(*map(held, SIZES)))).alias("gram"), POS)
 
 
-def gram_candidates(table: DataFrame, query: str, size: int = 3, most: int = 12) -> DataFrame:
-    """_pos of rows that hold all of up to `most` evenly spaced grams of the query; they're yet to be confirmed."""
+def gram_candidates(table: DataFrame, query: str, most: int = 12) -> DataFrame:
+    """Positions of rows that hold all of up to `most` evenly spaced grams of the query (of 2 letters or more); they're yet to be confirmed."""
+    size = min(SIZES[-1], len(query))
+    if size < SIZES[0]:
+        raise ValueError(f"a query of {len(query)} letters has no gram")
     parts = list(dict.fromkeys(query[k : k + size] for k in range(len(query) - size + 1)))
     if len(parts) > most:
         parts = [parts[k * (len(parts) - 1) // (most - 1)] for k in range(most)]
-    return table.where(F.col("gram").isin(parts)).groupBy("_pos").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(set(parts))).select("_pos")
+    return table.where(F.col("gram").isin(parts)).groupBy(POS).agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(set(parts))).select(POS)

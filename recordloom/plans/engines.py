@@ -9,12 +9,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import BadOption, MissingDataset, MissingEngine
-from ..functions.values import normal_query, text_fields, utf16_length
+from ..errors import BadOption, MissingEngine
+from ..functions.values import POS, flat_field, normal_query, text_fields, utf16_length
 from ..operators import predicates as P
 from ..operators import text as X
 from ..operators.ordering import Key, columns, descriptors_of, order_of
-from ..sources.store import POS, Store, with_positions
+from ..sources.store import Store, durable, with_positions
 
 HISTORY = 12
 
@@ -33,7 +33,7 @@ class Result:
             out = out.offset(offset)
         if limit is not None:
             out = out.limit(limit)
-        return out.drop(*[c for c in out.columns if c.startswith("_")])
+        return out.drop(POS)
 
     def settled(self) -> tuple[DataFrame, list[Key]]:
         """Rows and order for a further step; a window is applied first."""
@@ -55,6 +55,30 @@ class Result:
     def search(self, *query, **window) -> Result:
         return self.owner.search(*query, **window)
 
+    def add(self, items):
+        return self.owner.add(items)
+
+    def update(self, field, row):
+        return self.owner.update(field, row)
+
+    def delete(self, field, values):
+        return self.owner.delete(field, values)
+
+    def data(self, data, keys=None):
+        return self.owner.data(data, keys)
+
+    def origin(self) -> DataFrame:
+        return self.owner.origin()
+
+    def clear_data(self, *kind) -> Result:
+        """Clears the owner's dataset; this result stays as it was."""
+        self.owner.clear_data(*kind)
+        return self
+
+    def clear_indexes(self, *kind) -> Result:
+        self.owner.clear_indexes(*kind)
+        return self
+
 
 class _Engine:
     def __init__(self, data=None, fields=(), nested_fields=(), store: Store | None = None, keys=None):
@@ -96,16 +120,18 @@ class _Engine:
         return self
 
     def clear_indexes(self):
-        """Answers never depend on indexes; kept for callers that drop them."""
+        """Drops what is kept for repeated calls; answers never depend on it."""
         return self
 
 
 class SearchEngine(_Engine):
     kind = "search"
 
-    def __init__(self, data=None, fields=(), nested_fields=(), min_query_length=1, filter_by_previous_result=False, silent=False, **rest):
+    def __init__(self, data=None, fields=(), nested_fields=(), min_query_length=1, filter_by_previous_result=False, silent=False, gram_index=False, **rest):
+        """gram_index: searches of 2 letters or more in a flat configured field go through a table of its grams, written at the first one."""
         super().__init__(data, fields, nested_fields, **rest)
-        self.shortest, self.narrowing, self.silent = min_query_length, filter_by_previous_result, silent
+        self.shortest, self.narrowing, self.silent, self.gram_index = min_query_length, filter_by_previous_result, silent, gram_index
+        self._grams: dict[str, tuple[int, DataFrame]] = {}
         self.reset_stats()
         self.warned: OrderedDict[tuple, str] = OrderedDict()
         self.reset_search_state()
@@ -114,6 +140,18 @@ class SearchEngine(_Engine):
         self._previous: tuple[str, Result, int] | None = None
         return self
 
+    def clear_indexes(self):
+        self._grams.clear()
+        return self
+
+    def _candidates(self, rows: DataFrame, field: str, query: str) -> DataFrame:
+        """rows, or those of them that hold the query's grams in the field."""
+        if not self.gram_index or field not in self.fields or not flat_field(rows, field) or len(query) < X.SIZES[0]:
+            return rows
+        if self._grams.get(field, (None,))[0] != self.store.version:
+            self._grams[field] = self.store.version, durable(X.grams(self.store.need(), field))
+        return rows.join(X.gram_candidates(self._grams[field][1], query), POS, "left_semi")
+
     def reset_stats(self):
         self._stats: dict[str, list[int]] = {}
 
@@ -165,7 +203,7 @@ class SearchEngine(_Engine):
             if not known and self.fields and long and not narrowed:
                 return Result(self, rows.limit(0), by_row)
             self._record(field, known and long, query, "too short" if known else "field isn't configured")
-            return Result(self, rows.where(X.matches(rows, field, query, self.nested)), by_row)
+            return Result(self, self._candidates(rows, field, query).where(X.matches(rows, field, query, self.nested)), by_row)
         configured = [*self.fields, *self.nested]
         fields = configured or text_fields(rows)
         self._record("*", bool(configured) and long, query, "too short" if configured else "no fields are configured")
@@ -192,8 +230,7 @@ class FilterEngine(_Engine):
         return self
 
     def _base(self) -> Result:
-        if self.store.frame is None:
-            raise MissingDataset("filter: no dataset")
+        self.store.filled("filter")
         if not self._whole or self._whole[0] != self.store.version:
             self._whole = (self.store.version, self.all())
             self.reset_filter_state()
@@ -254,8 +291,8 @@ class SortEngine(_Engine):
     def sort(self, *args) -> Result:
         """sort(descriptors) on the dataset, or sort(data, descriptors) on a result or DataFrame."""
         stored = len(args) == 1
-        if stored and self.store.frame is None:
-            raise MissingDataset("sort: no dataset")
+        if stored:
+            self.store.filled("sort")
         base, by = (self.all() if stored else self.source(args[0])), descriptors_of(args[-1])
         if not by:
             return base

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..operators import predicates as P
 from ..operators.ordering import columns
-from ..sources.store import POS, Store
+from ..functions.values import POS
+from ..sources.store import Store, with_positions
 from .engines import Facade, FilterEngine, Result, SearchEngine, SortEngine
 
 QUERIES: dict = {}
@@ -27,18 +27,19 @@ def by_key(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
 def engine(cls, frame: DataFrame, **options):
     """An engine over rows with positions, without a count."""
     store = Store()
-    store.frame = frame
+    store.frame, store.count = frame, None
     return cls(store=store, **options)
 
 
 def plain(result: Result) -> DataFrame:
     """A result as a set of rows."""
-    return result.rows.drop(*[c for c in result.rows.columns if c.startswith("_")])
+    return result.rows.drop(POS)
 
 
 def ranked(result: Result, key: str) -> DataFrame:
     """The key and each row's place, from 1, which shows an order to an unordered comparison."""
-    return result.rows.select(key, F.row_number().over(Window.orderBy(*columns(result.order))).cast("long").alias("place"))
+    placed, _ = with_positions(result.rows, order=columns(result.order))
+    return placed.select(key, (F.col(POS) + 1).alias("place"))
 
 
 def query(sql: str):
@@ -127,6 +128,11 @@ def filter_unknown_field(spark, sf_dir):
     return _filtered(spark, sf_dir, "part", "p_partkey", {"field": "no_such_field", "values": [1]}, {"field": "nor.this", "exclude": [1]})
 
 
+@query(f"select {PART} from part where p_size in (1, 5)")
+def filter_float_column(spark, sf_dir):
+    return _filtered(spark, sf_dir, "part", "p_partkey", {"field": "tenth", "values": [0.1, 0.5]}, change=lambda part: part.withColumn("tenth", (F.col("p_size") / 10).cast("float"))).drop("tenth")
+
+
 @query("select label, count(*) as n from embeddings where label not in (0) or label is null group by label")
 def filter_embeddings_label(spark, sf_dir):
     return _filtered(spark, sf_dir, "embeddings", "vec_id", {"field": "label", "exclude": [0]}).groupBy("label").agg(F.count("*").alias("n"))
@@ -166,8 +172,8 @@ def nested_two_paths(spark, sf_dir):
     return _nested(spark, sf_dir, {"field": "lines.l_returnflag", "values": ["A"]}, {"field": "lines.l_linestatus", "values": ["O"]})
 
 
-def _search(spark, sf_dir, name, key, *args, fields=(), **window):
-    return engine(SearchEngine, by_key(spark, sf_dir, name, key), fields=fields, silent=True).search(*args, **window)
+def _search(spark, sf_dir, name, key, *args, fields=(), gram_index=False, **window):
+    return engine(SearchEngine, by_key(spark, sf_dir, name, key), fields=fields, silent=True, gram_index=gram_index).search(*args, **window)
 
 
 _FIELDS = ["p_name", "p_brand", "p_type"]
@@ -233,6 +239,18 @@ def search_narrowing(spark, sf_dir):
     return plain(part.search("p_name", "red"))
 
 
+@query(f"select {PART} from part where contains(lower(p_name), 'ma') and contains(lower(p_type), 'small')")
+def search_narrowing_across_fields(spark, sf_dir):
+    part = engine(SearchEngine, by_key(spark, sf_dir, "part", "p_partkey"), fields=_FIELDS, filter_by_previous_result=True)
+    part.search("p_name", "ma")
+    return plain(part.search("p_type", "small"))
+
+
+@query(f"select {PART} from part where contains(lower(p_name), 're')")
+def search_gram_index_two_letters(spark, sf_dir):
+    return plain(_search(spark, sf_dir, "part", "p_partkey", "p_name", "RE", fields=_FIELDS, gram_index=True))
+
+
 def _sorted(spark, sf_dir, name, key, by, fields=()):
     return ranked(engine(SortEngine, by_key(spark, sf_dir, name, key), fields=fields).sort(by), key)
 
@@ -305,6 +323,13 @@ def mutate_delete_many(spark, sf_dir):
     return store.rows()
 
 
+@query("select s_suppkey, case s_suppkey when n - 1 then 1 when n - 2 then 5 when n - 3 then 9 when n - 4 then 7 else s_suppkey end as place from supplier, (select count(*) as n from supplier) where s_suppkey not in (1, 5, 9, 7)")
+def mutate_delete_many_positions(spark, sf_dir):
+    store = _store(spark, sf_dir, "supplier", ["s_suppkey"])
+    store.delete("s_suppkey", [1, 5, 9, 5, 7, -1])
+    return store.frame.select("s_suppkey", F.col(POS).alias("place"))
+
+
 @query("select r_regionkey, r_name from region")
 def mutate_replace(spark, sf_dir):
     store = _store(spark, sf_dir, "nation", ["n_nationkey"])
@@ -338,7 +363,7 @@ def filter_seq_exclude_grow(spark, sf_dir):
 
 def _facade(spark, sf_dir, **options) -> Facade:
     facade = Facade(search={"fields": _FIELDS, "silent": True}, sort={"fields": ["p_size"]}, **options)
-    facade.store.frame = by_key(spark, sf_dir, "part", "p_partkey")
+    facade.store.frame, facade.store.count = by_key(spark, sf_dir, "part", "p_partkey"), None
     return facade
 
 
