@@ -1,8 +1,8 @@
 """Substring dedup on words: removes each word covered by a window of 13 that also starts in a document of smaller id.
 
 Words are runs of bytes other than space and \\t to \\r, unchanged; windows are judged on the input.
-Method: recompression names every window by one of its interior symbols (symbols.py); segments under names that documents
-share are brought together (repeats.py), and their windows are verified as whole words.
+Method: recompression, a Spark round over all blocks for each of its rounds, names every window by one of its interior symbols
+(symbols.py); segments under names that documents share are brought together (repeats.py), and their windows are verified as whole words.
 
 Edge cases: null and empty texts and texts of fewer than 13 words lose nothing; documents without an id, or of
 equal ids, are no smaller than each other; an empty table gives no rows; columns of the input named like an added one are replaced.
@@ -10,15 +10,17 @@ equal ids, are no smaller than each other; an empty table gives no rows; columns
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts
-from .repeats import Items, covered_counts, without_repeats
-from .substrings import binary
-from .symbols import spelled, window_names
+from .common import binary, table, texts
+from .repeats import CHUNK, Items, covered_counts, unpacked, without_repeats
+from .symbols import COINS, ROUNDS, joined_pairs, spelled, window_names
 
 WINDOW = 13
 _BLANK = np.zeros(256, dtype=bool)
@@ -30,7 +32,8 @@ class Words(Items):
 
     window = WINDOW
 
-    def __init__(self, text: pa.Array):
+    def __init__(self, text: pa.Array, coins: tuple[int, ...] = ()):
+        self.coins = coins
         data, offsets = binary(text)
         blank = _BLANK[data]
         ends = ~blank  # of words: the byte after is blank, or the text ends
@@ -48,14 +51,37 @@ class Words(Items):
         self.n = len(last)
         self.starts = np.concatenate([[0], np.cumsum(ends, dtype=np.int64)])[offsets]
 
+    def tokens(self, a: int, b: int) -> np.ndarray:
+        begin = self.begin[a : b + 1]
+        return spelled(self.data[begin[0] : begin[-1]], begin - begin[0])
+
     def names(self, a: int, b: int) -> np.ndarray:
-        begin = self.begin[a : b + WINDOW]
-        return window_names(spelled(self.data[begin[0] : begin[-1]], begin - begin[0]), WINDOW)
+        return window_names(self.tokens(a, b + WINDOW - 1), WINDOW, self.coins)
 
     def part(self, first: int, count: int) -> bytes:
         return self.raw[self.begin[first] : self.begin[first + count + WINDOW - 1] - 1]
 
 
+def rounds(blocks: DataFrame, text_at: int) -> Callable[[pa.Array], Words]:
+    """Words with the coins of all rounds, each settled by the pairs of all documents."""
+    coins: tuple[int, ...] = ()
+    columns = [f"c{bit}" for bit in COINS]
+    while len(coins) < ROUNDS:
+
+        def count(batches, coins=coins):
+            for batch in batches:
+                total = np.zeros(len(COINS), np.int64)
+                for data in batch.column(1):
+                    items = Words(unpacked(data).column(text_at))
+                    for a in range(0, items.n, CHUNK):
+                        total += joined_pairs(items.tokens(a, min(a + CHUNK, items.n)), coins)
+                yield pa.RecordBatch.from_arrays([pa.array([n]) for n in total.tolist()], names=columns)
+
+        sums = blocks.mapInArrow(count, ", ".join(f"{c} long" for c in columns)).agg(*[F.sum(c) for c in columns]).first()
+        coins += (max(COINS, key=lambda bit: (sums[bit - COINS[0]] or 0, -bit)),)
+    return functools.partial(Words, coins=coins)
+
+
 def judge(segments: list[bytes], names: np.ndarray, least: np.ndarray) -> dict[int, list[tuple[int, int]]]:
     """Windows of the segments of a name, in order of documents, against those of smaller documents, word for word."""
     order = np.lexsort((least, names))
@@ -91,7 +117,7 @@ def finish(items: Words, covered: np.ndarray) -> list[pa.Array]:
 
 def drop_passages(docs: DataFrame) -> DataFrame:
     """docs with n_words, n_removed and kept (the words left, joined by a space)."""
-    return without_repeats(docs, Words, judge, finish, "n_words long, n_removed long, kept string")
+    return without_repeats(docs, rounds, judge, finish, "n_words long, n_removed long, kept string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

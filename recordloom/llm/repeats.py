@@ -162,7 +162,7 @@ def _pack(text_at: int):
     return run
 
 
-def _unpacked(data: pa.Scalar) -> pa.RecordBatch:
+def unpacked(data: pa.Scalar) -> pa.RecordBatch:
     return pa.ipc.open_stream(data.as_buffer()).read_all().combine_chunks().to_batches()[0]
 
 
@@ -209,7 +209,7 @@ def _blocks_of(batches, ids_at: int, text_at: int, items_of: Callable, more: int
     """(block, whole batch, its ids, items, runs, further columns) of each row of the batches."""
     for batch in batches:
         for k in range(batch.num_rows):
-            docs = _unpacked(batch.column(1)[k])
+            docs = unpacked(batch.column(1)[k])
             ids, known = docs.column(ids_at).fill_null(0).cast(pa.int64()).to_numpy(), docs.column(ids_at).is_valid().to_numpy(zero_copy_only=False)
             items = items_of(docs.column(text_at))
             yield batch.column(0)[k].as_py(), docs, ids, items, items.runs(known), [batch.column(2 + m)[k] for m in range(more)]
@@ -446,10 +446,10 @@ def covered_counts(items: Items, covered: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.diff(items.starts), np.diff(total[items.starts]), np.diff(runs[items.starts])
 
 
-def without_repeats(docs: DataFrame, items_of: Callable, judge: Callable, finish: Callable, added: str) -> DataFrame:
+def without_repeats(docs: DataFrame, prepared: Callable, judge: Callable, finish: Callable, added: str) -> DataFrame:
     """docs with the columns of the DDL schema `added`, which replace any of those names.
 
-    items_of makes Items of an Arrow array of texts. judge(texts, names, least documents) gives {segment: [(first window, windows)]}, the windows
+    prepared(blocks, place of the text column) gives what makes Items of an Arrow array of texts. judge(texts, names, least documents) gives {segment: [(first window, windows)]}, the windows
     of a segment that also lie in one of the same name with a smaller least document. finish(items, covered) makes the arrays of `added`.
     """
     spark = docs.sparkSession
@@ -460,8 +460,8 @@ def without_repeats(docs: DataFrame, items_of: Callable, judge: Callable, finish
     base = without(docs, [f.name for f in new]).columns
     kept = [k for k, c in enumerate(names) if c in base]
     schema = T.StructType([*[docs.schema[k] for k in kept], *new])
-    given = ids_at, text_at, items_of, buckets
     blocks = cut(docs.mapInArrow(_pack(text_at), "block long, data binary"))
+    given = ids_at, text_at, prepared(blocks, text_at), buckets
 
     def answered(said: DataFrame, judged: Callable, column: str) -> DataFrame:
         dealt = said.repartition(buckets // 4, "bucket").sortWithinPartitions("bucket")

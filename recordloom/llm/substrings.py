@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import binary, table, texts
 from .repeats import Items, covered_counts, least_grams, mixed, without_repeats
 from .runindex import RunIndex, joined
 
@@ -26,14 +26,6 @@ INDEX_BYTES = 1 << 20  # text of one index
 _LETTERS = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
-def binary(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of an array of texts; a null is empty."""
-    data = text.fill_null("").cast(pa.binary())
-    offsets = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64) if len(data) else np.zeros(1, np.int64)
-    whole = np.frombuffer(data.buffers()[2], np.uint8) if data.buffers()[2] is not None else np.zeros(0, np.uint8)
-    return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
 class Bytes(Items):
     window = WINDOW
 
@@ -104,7 +96,7 @@ def finish(items: Bytes, covered: np.ndarray) -> list[pa.Array]:
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept (binary)."""
-    return without_repeats(docs, Bytes, judge, finish, "n_bytes long, n_removed long, n_spans long, kept binary")
+    return without_repeats(docs, lambda blocks, text_at: Bytes, judge, finish, "n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
