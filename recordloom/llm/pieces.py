@@ -7,9 +7,9 @@ piece table (broadcast: tens of thousands of rows, MAX_PIECES at most), and matc
 distinct by a hash partitioning on the unit, which explode and broadcast join keep, so grouping a unit's
 edges needs no further shuffle. A Spark `aggregate` folds Viterbi over end positions, a second one walks
 back. Characters without a piece are edges of their own that become byte pieces. Ties go to the later
-start, then the larger id.
+start, then the larger id. Edges of a unit are collected in a hash table of up to GROUPS units, rather than sorted.
 
-Documents are then put together from the units' ids. If the packed units (a 64-bit hash, an offset, ids)
+Units are cut, and told apart by two 64-bit hashes, for many texts at once. Documents are then put together from the units' ids. If the packed units (a 64-bit hash, an offset, ids)
 take at most MAX_PACKED bytes and no two hashes are equal, they are broadcast; else a relational join
 on the unit and an ordered aggregation by document do the same.
 
@@ -27,23 +27,27 @@ long texts and very long units are encoded whole; columns ids and n_pieces of th
 
 from __future__ import annotations
 
+import contextlib
 import heapq
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import annotate, cut, table, texts
-from .tokens import Cache
+from .common import annotate, binary, cut, table, texts
+from .symbols import spelled
 
 MARK = "▁"
 MAX_PIECES = 1 << 20
 MAX_PACKED = 160 << 20
-SEEN = 200_000
-CACHE = 100_000  # units of one generation of a Python worker's cache
+SEEN = 1 << 21  # slots of a task's table of units that it has sent
+GROUPS = 1 << 16
+PART = 1 << 20  # bytes of text that are cut at once; a longer text is a part of its own
 LONG = 61  # characters of a unit that the fold by rank takes: its borders are the bits of a long
 _UNIT = re.compile(f"\\n|{MARK}*[^{MARK}\\n]+|{MARK}+")
 
@@ -80,19 +84,47 @@ def units_of(text: str | None) -> list[str]:
     return _UNIT.findall(escape(text))
 
 
+def cut_units(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of the escaped texts, a space in place of each mark; where units begin, then the end; number of units before each text, then of all)."""
+    text = pc.replace_substring(text.fill_null(""), MARK, " ")
+    data, ends = binary(pc.if_else(pc.equal(pc.binary_length(text), 0), "", pc.binary_join_element_wise(" ", text, "")))
+    line, space = data == 10, data == 32
+    begins = line.copy()
+    begins[1:] |= line[:-1]
+    space[1:] &= data[:-1] != 32
+    begins |= space
+    begins[ends[:-1][np.diff(ends) > 0]] = True
+    at = np.flatnonzero(begins)
+    return data, np.append(at, len(data)), np.searchsorted(at, ends)
+
+
+def _parts(text: pa.Array):
+    """Runs of texts of about PART bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(text):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART, side="right")))
+        yield text.slice(at, stop - at)
+        at = stop
+
+
 def _distinct(batches):
-    """Units of the documents; a task leaves out those it has just sent."""
-    seen: set[str] = set()
+    """Units of the documents; a task leaves out those that it still knows to have sent."""
+    sent = np.zeros((2, SEEN), dtype=np.uint64)
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            found: set[str] = set()
-            for text in batch.column(0).slice(at, 1000).to_pylist():
-                found.update(units_of(text))
-            found -= seen
-            if len(seen) > SEEN:
-                seen = set()
-            seen |= found
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], names=["unit"])
+        for text in _parts(batch.column(0)):
+            data, begin, _ = cut_units(text)
+            if len(begin) < 2:
+                continue
+            one, two = spelled(data, begin), spelled(~data, begin)
+            _, first, back = np.unique(one, return_index=True, return_inverse=True)
+            first = np.concatenate([first, np.flatnonzero(two != two[first][back])])
+            slot = (one[first] >> np.uint64(40)).astype(np.int64) % SEEN
+            new = first[(sent[0, slot] != one[first]) | (sent[1, slot] != two[first])]
+            sent[0, slot], sent[1, slot] = one[first], two[first]
+            raw = data.tobytes()
+            units = pa.array([raw[a:b] for a, b in zip(begin[new].tolist(), begin[new + 1].tolist())], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pc.replace_substring(units, " ", MARK)], names=["unit"])
 
 
 def _best(n, edges):
@@ -122,8 +154,8 @@ def _walk(n, best):
 def _merged(unit, edges):
     """ids after joining neighbours by rank; a fold over at most n - 1 joins.
 
-    An edge is (key, ends, span): key is rank, start and id, so that the least is the best and leftmost, ends
-    and span the bits of its two borders and of all from one to the other. The state holds the borders
+    An edge is (key, ends, span): key is rank, start, length and id, so that the least is the best and leftmost (or minus the place of a
+    character without a piece), ends and span the bits of its two borders and of all from one to the other. The state holds the borders
     left and the edges that may still join: an edge joins two neighbours if it has three of them, its ends
     among these.
     """
@@ -185,6 +217,18 @@ def _merge_long(model: Model):
     return run
 
 
+@contextlib.contextmanager
+def _grouping(spark: SparkSession):
+    """Edges of GROUPS units are held at once; Spark's default of 128 sorts all edges."""
+    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, GROUPS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def lattice(units: DataFrame, model: Model) -> DataFrame:
     """unit, ids of each row of units (unit: distinct, not empty)."""
     spark = units.sparkSession
@@ -194,9 +238,9 @@ def lattice(units: DataFrame, model: Model) -> DataFrame:
     key_of = F.xxhash64 if hashed else F.col
     n = F.char_length("unit")
     short = units.where(n <= LONG) if model.ranked else units
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a unit's edges are tens of rows: smaller parts sort in memory, by a hash first, which compares faster than units
-    starts = short.repartition(parts, "unit").select(F.xxhash64("unit").alias("sorted"), "unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    spans = starts.select("sorted", "unit", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + model.longest, n))).alias("end"))
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    starts = short.repartition(parts, "unit").select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    spans = starts.select("unit", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + model.longest, n))).alias("end"))
     spans = spans.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("end") - F.col("start")))
     met = spans.withColumn("key", key_of("piece")).join(F.broadcast(pieces.withColumn("key", key_of("name"))), "key", "left")
     same = F.col("name") == F.col("piece")
@@ -208,10 +252,11 @@ def lattice(units: DataFrame, model: Model) -> DataFrame:
         return F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda k: F.get(table_of_bytes, F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int")))
 
     if model.ranked:
-        key = F.coalesce(F.expr("shiftleft(CAST(rank AS long), 26) | shiftleft(start, 20) | id"), -F.col("start").cast("long") - 1)
-        span = F.expr("shiftleft(shiftleft(2L, end - start) - 1, start)")
-        edge = F.struct(key.alias("key"), F.expr("shiftleft(1L, start) | shiftleft(1L, end)").alias("ends"), span.alias("span"))
-        edges = found.groupBy("sorted", "unit").agg(F.collect_list(edge).alias("edges"))
+        key = F.coalesce(F.expr("shiftleft(CAST(rank AS long), 32) | shiftleft(start, 26) | shiftleft(end - start, 20) | id"), -F.col("start").cast("long") - 1)
+        found = found.groupBy("unit").agg(F.collect_list(key).alias("found"))
+        start, length = "IF(k < 0, -k - 1, shiftright(k, 26) & 63)", "IF(k < 0, 1, shiftright(k, 20) & 63)"
+        edge = f"named_struct('key', k, 'ends', shiftleft(1L, CAST({start} AS int)) | shiftleft(1L, CAST({start} + {length} AS int)), 'span', shiftleft(shiftleft(2L, CAST({length} AS int)) - 1, CAST({start} AS int)))"
+        edges = found.select("unit", F.expr(f"transform(found, k -> {edge})").alias("edges"))
         keys = edges.select("unit", _merged("unit", F.col("edges")).alias("keys"))
         plain = F.transform("keys", lambda k: k.bitwiseAND(F.lit(MAX_PIECES - 1)).cast("int"))
         mixed = F.flatten(F.transform("keys", lambda k: F.when(k >= 0, F.array(k.bitwiseAND(F.lit(MAX_PIECES - 1)).cast("int"))).otherwise(spelled(F.substring(F.col("unit"), (-k).cast("int"), F.lit(1))))))
@@ -219,18 +264,22 @@ def lattice(units: DataFrame, model: Model) -> DataFrame:
         return keys.select("unit", ids.alias("ids")).unionAll(units.where(n > LONG).mapInArrow(_merge_long(model), "unit string, ids array<int>"))
     ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(spelled(F.col("piece")))
     edge = F.struct("end", "start", F.coalesce("score", F.lit(model.unknown)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"), ids.alias("ids"))
-    edges = found.groupBy("sorted", "unit").agg(F.collect_list(edge).alias("edges"))
+    edges = found.groupBy("unit").agg(F.collect_list(edge).alias("edges"))
     best = edges.select("unit", _best(n, F.col("edges")).alias("best"))
     return best.select("unit", _walk(n, F.col("best")).alias("ids"))
 
 
+def _hashes(units: pa.Array) -> np.ndarray:
+    data, ends = binary(pc.replace_substring(units, MARK, " "))
+    return spelled(data, ends)
+
+
 def _pack(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, 20_000):
             part = batch.slice(at, 20_000)
-            hashes = np.fromiter((xxhash.xxh3_64_intdigest(u) for u in part.column(0).to_pylist()), np.uint64, part.num_rows)
             ids = part.column(1)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (hashes, np.diff(ids.offsets.to_numpy()).astype("<u2"), ids.flatten().to_numpy().astype("<i4"))], names=["hashes", "sizes", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (_hashes(part.column(0)), np.diff(ids.offsets.to_numpy()).astype("<u2"), ids.flatten().to_numpy().astype("<i4"))], names=["hashes", "sizes", "ids"])
 
 
 def _short(ids: np.ndarray) -> np.ndarray:
@@ -238,7 +287,7 @@ def _short(ids: np.ndarray) -> np.ndarray:
 
 
 def _packed(known: DataFrame):
-    """(sorted hashes, offsets, ids) of all units as arrays; None if they're over MAX_PACKED bytes or two hashes are equal."""
+    """(sorted hashes, offsets, sizes, ids) of all units as arrays; None if they're over MAX_PACKED bytes or two hashes are equal."""
     size = known.agg(F.count("*"), F.sum(F.size("ids")), F.max(F.size("ids"))).first()
     if not size[0] or 12 * size[0] + 4 * size[1] > MAX_PACKED or size[2] >= 1 << 16:
         return None
@@ -253,6 +302,23 @@ def _packed(known: DataFrame):
     return hashes, offsets[order], sizes[order], ids
 
 
+class _Table:
+    """Places of hashes, all known, among sorted ones: from a directory of their first bits, a step at a time."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, bits = hashes, max(1, int(len(hashes)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.uint32)
+
+    def __call__(self, wanted: np.ndarray) -> np.ndarray:
+        place = self.first[(wanted >> self.shift).astype(np.int64)].astype(np.int64)
+        rest = np.flatnonzero(self.hashes[place] != wanted)
+        while len(rest):
+            place[rest] += 1
+            rest = rest[self.hashes[place[rest]] != wanted[rest]]
+        return place
+
+
 class _Spelling:
     """Bytes of all pieces in one array, from which many texts are gathered at once."""
 
@@ -272,36 +338,55 @@ class _Spelling:
         return [data[a:b].decode("utf-8", "replace")[1:] for a, b in zip(cuts, cuts[1:])]
 
 
+class _Shared:
+    """A broadcast with a number of its own, by which workers know it."""
+
+    def __init__(self, broadcast):
+        self.broadcast, self.id = broadcast, uuid.uuid4().hex
+
+    @property
+    def value(self):
+        return self.broadcast.value
+
+
 def _assemble(docs: DataFrame, packed, names, decoded: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((packed, names))
+    shared = _Shared(docs.sparkSession.sparkContext.broadcast((packed, names)))
 
     def run(text):
         (hashes, offsets, sizes, ids), spelling = shared.value
-        known = _cache.setdefault("units", Cache(CACHE))
+        find = _table(shared.id, hashes)
         out, counts, back = [], [], []
-        for at in range(0, len(text), 250):
-            known.turn()
-            parts = [list(map(known.__getitem__, units_of(t))) for t in text[at : at + 250]]
-            new = known.taken()
-            places = np.searchsorted(hashes, np.fromiter((xxhash.xxh3_64_intdigest(u) for u in new), np.uint64, len(new)))
-            known.learn((u, ids[a : a + n].astype("<u4").tobytes()) for u, a, n in zip(new, offsets[places].tolist(), sizes[places].tolist()))
-            for part in parts:
-                data = b"".join(part)
-                out.append(data)
-                counts.append(len(data) // 4)
-            if spelling:
-                at = len(counts) - len(parts)
-                for k in range(at, len(counts), 10):
-                    back += spelling.texts(np.frombuffer(b"".join(out[k : k + 10]), "<u4"), counts[k : k + 10])
-        flat = pa.py_buffer(b"".join(out))
-        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, flat]))
-        return [lists, counts, back] if spelling else [lists, counts]
-
-    return annotate(docs, ["text"], run, "ids array<int>, n_pieces long" + (f", {decoded} string" if decoded else ""))
-
-
-_cache: dict = {}
+        for part in _parts(text):
+            data, begin, before = cut_units(part)
+            places = find(spelled(data, begin)) if len(begin) > 1 else np.zeros(0, np.int64)
+            n = sizes[places].astype(np.int64)
+            ends = np.cumsum(n)
+            total = int(ends[-1]) if len(ends) else 0
+            gathered = ids[np.repeat(offsets[places] - (ends - n), n) + np.arange(total)].astype(np.int32)
+            mine = np.diff(np.concatenate([[0], ends])[before])
+            out.append(gathered)
+            counts.append(mine)
+            at = 0
+            for k in range(0, len(mine) if spelling else 0, 10):
+                some = mine[k : k + 10]
+                back += spelling.texts(gathered[at : at + some.sum()], some.tolist())
+                at += some.sum()
+        flat, counts = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out, counts))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat.astype(np.int32)))
+        return [lists, pa.array(counts.astype(np.int64)), *([pa.array(back, pa.string())] if spelling else [])]
+
+    return annotate(docs, ["text"], run, "ids array<int>, n_pieces long" + (f", {decoded} string" if decoded else ""), raw=True)
+
+
+_tables: dict[str, _Table] = {}
+
+
+def _table(number: str, hashes: np.ndarray) -> _Table:
+    """The table of a broadcast; a Python worker keeps the last one for all its tasks."""
+    if number not in _tables:
+        _tables.clear()
+        _tables[number] = _Table(hashes)
+    return _tables[number]
 
 
 def _joined(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -318,7 +403,8 @@ def encode(docs: DataFrame, model_path: str, decoded: str = "") -> DataFrame:
     """docs with ids (array<int>) and n_pieces (long); with `decoded`, also what decoding the ids gives, in a column of that name."""
     model = Model(model_path)
     units = cut(docs.select("text").mapInArrow(_distinct, "unit string").distinct())
-    known = cut(lattice(units, model))
+    with _grouping(docs.sparkSession):
+        known = cut(lattice(units, model))
     packed = _packed(known)
     names = _Spelling(_bytes_of(model)) if decoded else None
     if packed is None:
