@@ -12,12 +12,12 @@ Any zstandard tool can stream a file; a reader takes the footer and decompresses
 hold the documents asked for, checking each frame's checksum. The last byte is a line end because
 Spark's text writer, which puts one file per row in any store that Hadoop can reach, ends rows so.
 
-Documents are range-partitioned by doc_id, so files in name order hold ascending ids; a task encodes
+Documents are range-partitioned by doc_id, so files in the order of their task and number hold ascending ids; a task encodes
 its range and starts a new file beyond FILE_BYTES of ids, so files and memory are bounded. Only the
-text moves, once. The first id's position follows from the files' totals, one small row per file.
+text moves, once. The first id's position follows from the files' totals.
 
-Edge cases: null and empty texts have the end id alone; a null doc_id sorts first; repeated rows are
-repeated documents; an empty table writes no file; a document of any length is one piece of one frame.
+Edge cases: null and empty texts have the end id alone; a null doc_id sorts first; documents that share an id stand
+in the order of a hash of their text, then of the text; repeated rows are repeated documents; an empty table writes no document, and reads back as no rows; a document of any length is one piece of one frame.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, texts
+from .common import cut, gone_at_exit, shared_dir, table, texts
 
 END_ID = 2
 FRAME_BYTES = 1 << 18
@@ -176,24 +176,25 @@ def encoder(path: str) -> Encoder:
 def write_file(docs: Iterable[tuple[int | None, bytes]]) -> bytes:
     """One file of (key, ids as bytes), without its last byte, which the row's end adds."""
     squeeze = zstandard.ZstdCompressor(level=1, write_checksum=True)
-    frames, table, body, raw, n = [], [], [], [], 0
+    frames, table, body, raw, n, size = [], [], [], [], 0, 0
     total = 0
 
     def close():
-        nonlocal raw, n
+        nonlocal raw, n, size
         if n:
             data = b"".join(raw)
             packed = squeeze.compress(data)
             body.append(packed)
             frames.append(_FRAME.pack(len(packed), len(data), zlib.crc32(data), n))
-        raw, n = [], 0
+        raw, n, size = [], 0, 0
 
     for key, ids in docs:
         raw.append(ids)
         n += 1
+        size += len(ids)
         total += len(ids) // 4
         table.append(_DOC.pack(NULL_KEY if key is None else key, len(ids) // 4, zlib.crc32(ids)))
-        if sum(map(len, raw)) >= FRAME_BYTES:
+        if size >= FRAME_BYTES:
             close()
     close()
     seek = b"".join([*frames, *table, _FOOT.pack(len(frames), len(table), total, _MAGIC)])
@@ -241,11 +242,6 @@ class TokenFile:
                         yield key, ids
 
 
-def total_of(data: bytes) -> int:
-    """Ids in a file, from its footer alone."""
-    return _FOOT.unpack_from(data, len(data) - _FOOT.size)[2]
-
-
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Writes token files of docs (doc_id, text) below path, in ascending doc_id order."""
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -267,7 +263,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([write_file(held)], pa.binary())], names=["value"])
 
-    files = docs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first()).mapInArrow(run, "value binary")
+    by = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text").asc_nulls_first()]  # documents that share an id are spread, and stand in one order
+    files = docs.repartitionByRange(parts, *by[:2]).sortWithinPartitions(*by).select("doc_id", "text").mapInArrow(run, "value binary")
     files.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
 
 
@@ -291,24 +288,30 @@ def read_tokens(spark: SparkSession, path: str, wanted: set | None = None) -> Da
     return files.mapInArrow(run, "file string, place long, start long, doc_id long, n_tokens long, ids binary")
 
 
-def file_starts(spark: SparkSession, path: str) -> DataFrame:
-    """file, first: ids in all files before it. One row per file; only footers are looked at."""
-
-    def run(batches):
-        for batch in batches:
-            totals = [total_of(d.as_py()) for d in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64())], names=["file", "total"])
+def with_starts(rows: DataFrame) -> DataFrame:
+    """Rows of read_tokens (file, start, n_tokens, others) with `start` counted over all files.
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInArrow(run, "file string, total long")
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    return files.select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("first"))
+    Files stand in the order of their task and of their number in it, as numbers. Tasks' totals, a row a task, are
+    added up on the driver; those of a task's files by a window over the task. rows are read twice.
+    """
+    spark = rows.sparkSession
+    number = lambda pattern: F.regexp_extract("file", pattern, 1).cast("long")
+    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("total")).select("file", "total", number(r"part-(\d+)-[^/]*$").alias("task"), F.coalesce(number(r"-c(\d+)[^/]*$"), F.lit(0)).alias("number"))
+    tasks, at = [], 0
+    for task, total in sorted((r.task, r.total) for r in files.groupBy("task").agg(F.sum("total").alias("total")).collect()):
+        tasks.append((task, at))
+        at += total
+    before = Window.partitionBy("task").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    own = files.select("file", "task", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("before"))
+    base = own.join(spark.createDataFrame(tasks, "task long, base long"), "task").select("file", (F.col("base") + F.col("before")).alias("base"))
+    return rows.join(base, "file").withColumn("start", F.col("base") + F.col("start")).drop("base")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = shared_dir(spark, "tokens")
+    gone_at_exit(spark, path)
     write_tokens(texts(table(spark, sf_dir, "documents")), path, public_tokenizers.path("byte_bpe_50k.json"))
-    spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
-    rows = read_tokens(spark, path)
-    return rows.join(F.broadcast(file_starts(spark, path)), "file").select("doc_id", (F.col("first") + F.col("start")).alias("start"), "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    rows = cut(read_tokens(spark, path).select("file", "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")))
+    return with_starts(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
