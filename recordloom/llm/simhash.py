@@ -186,7 +186,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     linked = prints.join(root, prints.fp == root.node)
     low = linked.groupBy("root").agg(F.min("first").alias("low"))
     moved = linked.join(low, "root").select("fp", "low")
-    name = prints.join(moved, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id"))
+    # Written, so that both sides of the last join are plain exchanges: Spark can then split a fingerprint that many documents have.
+    name = cut(prints.join(moved, "fp", "left").select("fp", F.coalesce("low", "first").alias("component_id")))
     return rows.join(name, "fp").select("doc_id", "fp", "component_id")
 
 
