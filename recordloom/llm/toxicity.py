@@ -5,13 +5,13 @@ other labelled documents and follow several different words there, which words o
 don't. Its trie is intersected with the Levenshtein automaton of one edit: a state is the set of trie
 nodes within an edit, made when first met and kept, so a word costs one step per letter and most end
 after a few. Terms of five letters or more may be misspelled by an edit; misspellings that are
-ordinary words of clean documents are exempt. A hit inside quotation marks, or with a reporting verb in its
-window of words, counts as quoted. A logistic model turns counts of exact, misspelled and quoted hits
+ordinary words of clean documents are exempt. A hit inside quotation marks (which open and close on its line, within QUOTE
+characters of it), or with a reporting verb among WINDOW words on either side, counts as quoted. A logistic model turns counts of exact, misspelled and quoted hits
 and their density into the score.
 
 Labels, languages, sources and ids are no inputs of a score. Documents whose crc32(doc_id as text)
 mod 3 is 1 are held out of training. Training reads at most SAMPLE labelled documents, those with the
-smallest hash of their id; all documents are scored, whole, in one narrow pass with a small broadcast.
+smallest hash of their id, and keeps the TERMS terms of the highest odds; all documents are scored, whole, in one narrow pass with a small broadcast.
 
 Edge cases: null and empty texts have no hits and the score of the bias; without toxic labels the
 lexicon is empty and all scores are the training share; repeated labels of a document count as toxic
@@ -22,13 +22,14 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import annotate, table, texts
+from .common import annotate, cut, table, texts
 
 SAMPLE = 20_000  # labelled documents that the model is fitted on, at most
 TERMS = 3_000  # terms of the lexicon, at most
@@ -36,6 +37,7 @@ MIN_CONTEXTS, MIN_ODDS = 5, 20.0
 FUZZY = 5  # letters from which a term may be misspelled
 CUTOFF = 0.7
 WINDOW = 6  # words on either side
+QUOTE = 200  # characters on either side in which quotation marks are looked for
 
 _WORD = re.compile(r"[^\W_]+")
 _OPEN, _CLOSE = "\"“„«‘", "\"”“»’"
@@ -141,8 +143,8 @@ class Lexicon:
 def _quoted(text: str, start: int, end: int, near: list[str]) -> bool:
     if any(w in _REPORT for w in near):
         return True
-    line = text[text.rfind("\n", 0, start) + 1 : start][-200:]
-    tail = text[end : end + 200].split("\n")[0]
+    line = text[text.rfind("\n", 0, start) + 1 : start][-QUOTE:]
+    tail = text[end : end + QUOTE].split("\n")[0]
     for a, b in zip(_OPEN, _CLOSE):
         opened = line.count(a) % 2 == 1 if a == b else line.rfind(a) > line.rfind(b)
         if opened and b in tail:
@@ -208,15 +210,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[
     key = F.col("doc_id").cast("long")
     training = F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(3)) != 1, F.lit(False))
     known = labels.where(F.col("toxic").isin(0, 1) & training).groupBy(key.alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    chosen = cut(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+    rows = cut(texts(docs).join(F.broadcast(chosen), "doc_id").select("toxic", "text"))  # at most `sample` documents, read three times
     n_toxic, n_all = chosen.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     share = min(max(n_toxic / n_all, 0.01), 0.5) if n_all else 0.1
     bias = [0.0, 0.0, 0.0, 0.0, math.log(share / (1 - share))]
     if not n_toxic:
         return [], set(), bias
     counts = rows.mapInArrow(_learned, "word string, before string, toxic long, clean long").groupBy("word", "before").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    words = counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count("before").alias("contexts"))
+    words = cut(counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count("before").alias("contexts")))
     odds = ((F.col("toxic") + 0.5) / F.lit(n_toxic + 1.0)) / ((F.col("clean") + 0.5) / F.lit(n_all - n_toxic + 1.0))
     best = words.where((F.col("contexts") >= MIN_CONTEXTS) & (odds >= MIN_ODDS)).orderBy(odds.desc(), "word").limit(TERMS)
     terms = [r.word for r in best.select("word").collect()]
@@ -247,19 +249,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[
     return terms, exempt, [float(w) for w in weights]
 
 
-_lexicons: dict[int, Lexicon] = {}
+_lexicons: dict[str, Lexicon] = {}
+
+
+def _lexicon(name: str, terms: list[str], exempt: set[str]) -> Lexicon:
+    """The automaton of a model; a Python worker keeps the last one for all its tasks."""
+    if name not in _lexicons:
+        _lexicons.clear()
+        _lexicons[name] = Lexicon(terms, exempt)
+    return _lexicons[name]
 
 
 def score_with(docs: DataFrame, model: tuple) -> DataFrame:
     """docs with score (0 to 1)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(text):
         terms, exempt, weights = shared.value
-        if shared.value is not None and id(shared.value) not in _lexicons:
-            _lexicons.clear()
-            _lexicons[id(shared.value)] = Lexicon(terms, exempt)
-        lexicon = _lexicons[id(shared.value)]
+        lexicon = _lexicon(name, terms, exempt)
         out = []
         for t in text:
             z = sum(w * x for w, x in zip(weights, features(t, lexicon))) + weights[-1]
