@@ -6,20 +6,22 @@ prefix of a window is its rarest word: a document that holds the window holds th
 therefore looks up every document word among the windows' prefix words, keeps a position only if
 the window fits around it (length and positional bound), and compares all its words.
 
-The benchmark is read in blocks of at most BLOCK_BYTES of text; each block's index is broadcast, so
-what is broadcast is bounded whatever the benchmark's size, and more blocks mean more narrow passes
-over the documents. No pass shuffles the documents; only word counts of a block's vocabulary move.
+The benchmark is read in blocks of about BLOCK_WORDS words; longer items are cut, and overlap by a window but one word. A block's
+words, once each, and four numbers for each window are broadcast, so what is broadcast is bounded whatever the
+benchmark's size or its items', and more blocks mean more narrow passes over the documents. No pass shuffles the documents; only word counts of a block's vocabulary move.
 
 Edge cases: a null or empty text has no words (n_words 0, not contaminated); items without words
-make no window; repeated items and items with equal windows count each; an item with a null id marks
+make no window; items with equal windows count each, rows of one item_id once; an item with a null id marks
 words as hit but is in no item list; an empty benchmark hits nothing; repeated documents are judged
 each; columns of the input with the names of added columns are replaced.
 """
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +30,7 @@ from .common import annotate, col, cut, table, texts, without
 
 WINDOW = 13
 MIN_SHARE = 20  # contaminated if at least one word in 20 is hit
-BLOCK_BYTES = 16 << 20
+BLOCK_WORDS = 1 << 20
 _ADDED = ["n_words", "n_hit", "hit_items", "n_items", "contaminated"]
 
 # Word characters are 0-9, a-z after lower-casing, and all beyond ASCII.
@@ -43,14 +45,18 @@ def windows_of(seq: list[bytes], size: int) -> list[tuple[bytes, ...]]:
     return [tuple(seq[i : i + size]) for i in range(max(1, len(seq) - size + 1))] if seq else []
 
 
-def _blocks(benchmark: DataFrame):
+def _blocks(benchmark: DataFrame, window: int):
+    """Lists of (item, its words or a part of them)."""
     block, held = [], 0
     for item, text in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        block.append((item, text))
-        held += len(text or "")
-        if held >= BLOCK_BYTES:
-            yield block
-            block, held = [], 0
+        seq = words(text)
+        for at in range(0, max(1, len(seq) - window + 1), BLOCK_WORDS):
+            part = seq[at : at + BLOCK_WORDS + window - 1]
+            block.append((item, part))
+            held += len(part)
+            if held >= BLOCK_WORDS:
+                yield block
+                block, held = [], 0
     if block:
         yield block
 
@@ -70,29 +76,51 @@ def _rarity(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
     return {bytes(r.word): r.n for r in rows}
 
 
-def prefix_index(items: list[tuple], rarity: dict[bytes, int], window: int) -> dict[bytes, list]:
-    """Prefix word -> [(its offset in the window, window length, {window: item numbers})]."""
-    found: dict[bytes, dict[tuple[int, int], dict[tuple, list[int]]]] = {}
-    for number, (_, text) in enumerate(items):
-        for win in set(windows_of(words(text), window)):
-            first = min(win, key=lambda w: (rarity.get(w, 0), w))
-            if rarity.get(first, 0):
-                at = win.index(first)
-                found.setdefault(first, {}).setdefault((at, len(win)), {}).setdefault(win, []).append(number)
-    return {w: [(at, n, wins) for (at, n), wins in by.items()] for w, by in found.items()}
-
-
-def _probe(seq: list[bytes], index: dict[bytes, list], hits: set[int], items: set[int]) -> None:
-    n = len(seq)
-    for p, word in enumerate(seq):
-        if word in index:
-            for at, size, wins in index[word]:
+class Prefixes:
+    """Windows of a block by their rarest word: for each, its part of an item, its place there, its length and the word's place in it."""
+
+    def __init__(self, parts: list[list[bytes]], rarity: dict[bytes, int], window: int):
+        numbers: dict[bytes, int] = {}
+        self.parts = [np.fromiter((numbers.setdefault(w, len(numbers)) for w in part), np.int32, len(part)) for part in parts]
+        self.words = list(numbers)
+        rank = np.empty(len(numbers), dtype=np.int64)  # by rarity, then the word
+        rank[sorted(range(len(numbers)), key=lambda k: (rarity.get(self.words[k], 0), self.words[k]))] = np.arange(len(numbers))
+        known = np.fromiter((rarity.get(w, 0) > 0 for w in self.words), bool, len(numbers))
+        rows = []
+        for number, part in enumerate(self.parts):
+            if not len(part):
+                continue
+            size = min(window, len(part))
+            views = np.lib.stride_tricks.sliding_window_view(rank[part], size)
+            at = views.argmin(axis=1)
+            place = np.arange(len(at))
+            first = part[place + at]
+            every = known[part]
+            # A window with a word that no document has occurs in none.
+            keep = np.lib.stride_tricks.sliding_window_view(every, size).all(axis=1)
+            rows.append(np.stack([first[keep], np.full(int(keep.sum()), number), place[keep], np.full(int(keep.sum()), size), at[keep]]))
+        table = np.concatenate(rows, axis=1) if rows else np.zeros((5, 0), np.int64)
+        table = table[:, np.argsort(table[0], kind="stable")]
+        self.windows = table[1:].astype(np.int32)
+        self.ends = np.searchsorted(table[0], np.arange(len(numbers) + 1)).astype(np.int32)
+
+    @functools.cached_property
+    def ready(self) -> tuple[dict[bytes, int], list[bool], list[list[int]]]:
+        """Numbers of the words, which of them start a look-up, and the parts' words; made once in a Python worker."""
+        return {w: k for k, w in enumerate(self.words)}, (np.diff(self.ends) > 0).tolist(), [p.tolist() for p in self.parts]
+
+
+def _probe(seq: list[bytes], prefixes: Prefixes, hits: set[int], items: set[int]) -> None:
+    """Adds the words of seq that lie in an occurring window, and the parts of items that have these."""
+    numbers, starts, parts = prefixes.ready
+    ids, n = [numbers.get(w, -1) for w in seq], len(seq)
+    for p, k in enumerate(ids):
+        if k >= 0 and starts[k]:
+            for part, place, size, at in prefixes.windows[:, prefixes.ends[k] : prefixes.ends[k + 1]].T.tolist():
                 start = p - at
-                if start >= 0 and start + size <= n:
-                    numbers = wins.get(tuple(seq[start : start + size]))
-                    if numbers:
-                        hits.update(range(start, start + size))
-                        items.update(numbers)
+                if start >= 0 and start + size <= n and ids[start : start + size] == parts[part][place : place + size]:
+                    hits.update(range(start, start + size))
+                    items.add(part)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: int = MIN_SHARE) -> DataFrame:
@@ -101,18 +129,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     out = without(docs, _ADDED)
     state = out.select("*", F.lit(None).cast("array<int>").alias("__hits"), F.lit(None).cast("array<string>").alias("__items"), F.lit(0).cast("long").alias("__n"))
     number = -1
-    for number, block in enumerate(_blocks(benchmark)):
-        vocabulary = {w for _, text in block for w in words(text)}
-        index = prefix_index(block, _rarity(docs, vocabulary), window)
-        shared = context.broadcast((index, [item for item, _ in block]))
+    for number, block in enumerate(_blocks(benchmark, window)):
+        vocabulary = {w for _, part in block for w in part}
+        prefixes = Prefixes([part for _, part in block], _rarity(docs, vocabulary), window)
+        shared = context.broadcast((prefixes, [item for item, _ in block]))
 
         def run(text, hits, items, shared=shared):
-            index, ids = shared.value
+            prefixes, ids = shared.value
             got_hits, got_items, sizes = [], [], []
             for t, h, i in zip(text, hits, items):
                 seq, found = words(t), set()
                 h = set(h or ())
-                _probe(seq, index, h, found)
+                _probe(seq, prefixes, h, found)
                 got_hits.append(sorted(h))
                 got_items.append(sorted({*(i or ()), *(ids[x] for x in found if ids[x] is not None)}))
                 sizes.append(len(seq))
