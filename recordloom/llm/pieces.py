@@ -252,7 +252,7 @@ def lattice(units: DataFrame, model: Model) -> DataFrame:
         return F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda k: F.get(table_of_bytes, F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int")))
 
     if model.ranked:
-        key = F.coalesce(F.expr("shiftleft(CAST(rank AS long), 32) | shiftleft(start, 26) | shiftleft(end - start, 20) | id"), -F.col("start").cast("long") - 1)
+        key = F.coalesce(F.expr("shiftleft(CAST(rank AS long), 32) | shiftleft(CAST(start AS long), 26) | shiftleft(end - start, 20) | id"), -F.col("start").cast("long") - 1)
         found = found.groupBy("unit").agg(F.collect_list(key).alias("found"))
         start, length = "IF(k < 0, -k - 1, shiftright(k, 26) & 63)", "IF(k < 0, 1, shiftright(k, 20) & 63)"
         edge = f"named_struct('key', k, 'ends', shiftleft(1L, CAST({start} AS int)) | shiftleft(1L, CAST({start} + {length} AS int)), 'span', shiftleft(shiftleft(2L, CAST({length} AS int)) - 1, CAST({start} AS int)))"
