@@ -23,7 +23,7 @@ def prose(n):
 
 SHARED = prose(30)
 LONG = prose(3000)
-TEXTS = [None, "", " ", prose(20), SHARED, prose(15) + " " + SHARED + " " + prose(10), SHARED + "  " + SHARED, LONG, LONG[:9000] + " z " + LONG[9000:], LONG, "a" * 400, "b a" * 60, prose(60) + "\n\ttail", "<|endoftext|> x", "é" * 70, "short one"]
+TEXTS = [None, "", " ", prose(20), SHARED, prose(15) + " " + SHARED + " " + prose(10), SHARED + "  " + SHARED, LONG, LONG[:9000] + " z " + LONG[9000:], LONG, "a" * 400, "b a" * 60, prose(60) + "\n\ttail", "<|endoftext|> x", "é" * 70, "short one", "".join(RNG.choice("abcdefgh") for _ in range(55)) + "é 12345678901234567890123456789012345678901234567890"]
 
 
 @pytest.fixture(scope="module")
