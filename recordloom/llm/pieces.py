@@ -306,7 +306,7 @@ class _Table:
     """Places of hashes, all known, among sorted ones: from a directory of their first bits, a step at a time."""
 
     def __init__(self, hashes: np.ndarray):
-        self.hashes, bits = hashes, max(1, int(len(hashes)).bit_length())
+        self.hashes, bits = hashes, max(1, int(len(hashes)).bit_length() - 1)
         self.shift = np.uint64(64 - bits)
         self.first = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.uint32)
 
