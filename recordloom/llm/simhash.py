@@ -129,18 +129,20 @@ def _links(keys: np.ndarray, fps: np.ndarray, home: np.ndarray):
 
 def _verify(batches):
     """Links of the buckets of a partition sorted by key; the last bucket of a batch waits for the next."""
-    held = None
+    held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
         new = (batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False))
         if not len(new[0]):
             continue
-        held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new))
-        last = np.searchsorted(held[0], held[0][-1])
-        if last:
-            yield _pairs(*_links(*(x[:last] for x in held)))
-            held = tuple(x[last:] for x in held)
-    if held is not None:
-        yield _pairs(*_links(*held))
+        held.append(new)
+        if held[0][0][0] == new[0][-1]:  # all of one bucket so far
+            continue
+        whole = tuple(np.concatenate(x) for x in zip(*held))
+        last = np.searchsorted(whole[0], whole[0][-1])
+        yield _pairs(*_links(*(x[:last] for x in whole)))
+        held = [tuple(x[last:] for x in whole)]
+    if held:
+        yield _pairs(*_links(*(np.concatenate(x) for x in zip(*held))))
 
 
 def _pairs(a, b):
