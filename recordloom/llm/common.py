@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +47,16 @@ def binary(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def parts_of(text: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Runs of texts of about `size` bytes; a longer text is one."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(text):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield text.slice(at, stop - at)
+        at = stop
+
+
 def annotate(df: DataFrame, inputs: list[str], fn: Callable[..., list], added: str, raw: bool = False) -> DataFrame:
     """df with the columns of the DDL schema `added`, which fn makes from lists of the inputs' values (raw: from Arrow arrays).
 

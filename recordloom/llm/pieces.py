@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import annotate, binary, cut, table, texts
+from .common import annotate, binary, cut, parts_of, table, texts
 from .symbols import spelled
 
 MARK = "▁"
@@ -47,7 +47,7 @@ MAX_PIECES = 1 << 20
 MAX_PACKED = 160 << 20
 SEEN = 1 << 21  # slots of a task's table of units that it has sent
 GROUPS = 1 << 16
-PART = 1 << 20  # bytes of text that are cut at once; a longer text is a part of its own
+PART = 1 << 18  # bytes of text that are cut at once; a longer text is a part of its own
 LONG = 61  # characters of a unit that the fold by rank takes: its borders are the bits of a long
 _UNIT = re.compile(f"\\n|{MARK}*[^{MARK}\\n]+|{MARK}+")
 
@@ -98,21 +98,11 @@ def cut_units(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, np.append(at, len(data)), np.searchsorted(at, ends)
 
 
-def _parts(text: pa.Array):
-    """Runs of texts of about PART bytes."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(text):
-        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART, side="right")))
-        yield text.slice(at, stop - at)
-        at = stop
-
-
 def _distinct(batches):
     """Units of the documents; a task leaves out those that it still knows to have sent."""
     sent = np.zeros((2, SEEN), dtype=np.uint64)
     for batch in batches:
-        for text in _parts(batch.column(0)):
+        for text in parts_of(batch.column(0), PART):
             data, begin, _ = cut_units(text)
             if len(begin) < 2:
                 continue
@@ -356,7 +346,7 @@ def _assemble(docs: DataFrame, packed, names, decoded: str) -> DataFrame:
         (hashes, offsets, sizes, ids), spelling = shared.value
         find = _table(shared.id, hashes)
         out, counts, back = [], [], []
-        for part in _parts(text):
+        for part in parts_of(text, PART):
             data, begin, before = cut_units(part)
             places = find(spelled(data, begin)) if len(begin) > 1 else np.zeros(0, np.int64)
             n = sizes[places].astype(np.int64)

@@ -53,9 +53,16 @@ class _Spelled:
         return mixed((self.sums[e] - self.sums[b]) * self.down[b] + (e - b).astype(np.uint64))
 
 
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
+
+
 def spelled(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """A token for each run of bytes from begin[k] to before begin[k + 1]; equal runs have equal tokens."""
-    return _Spelled(data.astype(np.uint64))(begin[:-1], begin[1:])
+    up, down = _powers(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
+    at = sums[begin]
+    return mixed((at[1:] - at[:-1]) * down[begin[:-1]] + np.diff(begin).astype(np.uint64))
 
 
 def _stands(names: np.ndarray, bit: int) -> np.ndarray:

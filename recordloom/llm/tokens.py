@@ -26,20 +26,23 @@ import json
 import re
 import struct
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, gone_at_exit, shared_dir, table, texts
+from .common import binary, cut, gone_at_exit, parts_of, shared_dir, table, texts
+from .symbols import spelled
 
 END_ID = 2
 FRAME_BYTES = 1 << 18
 FILE_BYTES = 1 << 24
-CACHE = 300_000  # words of one generation of the cache; a Python worker keeps two generations
+SLOTS = 1 << 21  # of a Python worker's table of known words
+PART = 1 << 17  # bytes of text that are cut into words at once; a longer text is a part of its own
 NULL_KEY = -(2**63)
 _FAR = "\u0250"  # letters, digits and white space before it are the same in all versions of Unicode in use
 # Fixed values of byte-level tokenizer files: the pattern of pieces (with classes up to _FAR), and the letters that stand for bytes.
@@ -47,7 +50,6 @@ _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9
 _PIECE = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _LETTERS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
-_WORD = re.compile(" ?[^ \\n]+|\\n")
 _GAPS = ("  ", " \n", "\n ", "\n\n")
 
 # Fixed values of the file format.
@@ -55,41 +57,57 @@ _SKIP, _MAGIC = 0x184D2A5E, b"TKSEEK\r\n"
 _FRAME, _DOC, _FOOT = struct.Struct("<IIII"), struct.Struct("<qII"), struct.Struct("<IQQ8s")
 
 
-class Cache(dict):
-    """Word -> ids. A word that is new gets an empty bytearray, and `learn` fills those of a batch together.
-
-    Words without ids of their own (`alone` is false) have None. The words of the generation before are
-    kept as long as they are used again.
-    """
-
-    def __init__(self, limit: int = CACHE, alone: Callable[[str], bool] = lambda word: True):
-        self.limit, self.alone, self.old, self.new = limit, alone, {}, []
-
-    def turn(self) -> None:
-        """Makes room; to be called before a batch."""
-        if len(self) > self.limit:
-            self.old = dict(self)
-            self.clear()
-
-    def __missing__(self, word: str):
-        if word in self.old:
-            ids = self.old.pop(word)
-        elif self.alone(word):
-            ids = bytearray()
-            self.new.append(word)
-        else:
-            ids = None
-        self[word] = ids
-        return ids
-
-    def learn(self, found: Iterable[tuple[str, bytes]]) -> None:
-        for word, ids in found:
-            self[word][:] = ids
-            self[word] = ids
-
-    def taken(self) -> list[str]:
-        new, self.new = self.new, []
-        return new
+class Words:
+    """A hash table of known words, by two 64-bit hashes: where their ids are in a pool, and how many. It starts afresh when half full."""
+
+    WHOLE = (1 << 32) - 1  # instead of a number of ids: texts with the word are encoded whole
+
+    def __init__(self, slots: int = SLOTS):
+        self.slots = slots  # a power of two
+        self.clear()
+
+    def clear(self) -> None:
+        self.one, self.two = np.zeros((2, self.slots), dtype=np.uint64)  # both 0: free
+        self.at, self.count = np.zeros((2, self.slots), dtype=np.uint32)
+        self.pool, self.end, self.used = np.zeros(1 << 16, dtype=np.uint32), 0, 0
+
+    def _start(self, one: np.ndarray) -> np.ndarray:
+        return (one & np.uint64(self.slots - 1)).astype(np.int64)
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The slot of each word; -1 for new ones."""
+        place, left = self._start(one), np.arange(len(one))
+        out = np.full(len(one), -1)
+        while len(left):
+            a, b = self.one[place], self.two[place]
+            same = (a == one[left]) & (b == two[left])
+            out[left[same]] = place[same]
+            more = ~same & ((a != 0) | (b != 0))
+            left, place = left[more], (place[more] + 1) & (self.slots - 1)
+        return out
+
+    def learn(self, one: np.ndarray, two: np.ndarray, ids: list[bytes | None]) -> None:
+        """Adds different new words with their ids; None: texts with it are encoded whole."""
+        sizes = np.fromiter((self.WHOLE if x is None else len(x) // 4 for x in ids), np.int64, len(ids))
+        flat = np.frombuffer(b"".join(x for x in ids if x), "<u4")
+        if self.end + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.end], np.zeros(max(len(self.pool), len(flat)), np.uint32)])
+        self.pool[self.end : self.end + len(flat)] = flat
+        held = np.where(sizes == self.WHOLE, 0, sizes)
+        at = self.end + np.cumsum(held) - held
+        self.end, self.used = self.end + len(flat), self.used + len(ids)
+        place, left = self._start(one), np.arange(len(one))
+        while len(left):
+            free = np.flatnonzero((self.one[place] == 0) & (self.two[place] == 0))
+            _, first = np.unique(place[free], return_index=True)
+            won = free[first]
+            slot, word = place[won], left[won]
+            self.one[slot], self.two[slot], self.at[slot], self.count[slot] = one[word], two[word], at[word], sizes[word]
+            rest = np.ones(len(left), dtype=bool)
+            rest[won] = False
+            left, place = left[rest], place[rest]
+            # Those that met a taken slot move on; those that lost a free one find it taken next.
+            place = np.where((self.one[place] != 0) | (self.two[place] != 0), (place + 1) & (self.slots - 1), place)
 
 
 def _alone(word: str) -> bool:
@@ -114,7 +132,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.newline = self._ids("\n")
-        self.known = Cache(alone=_alone)
+        self.known = Words()
         form = json.loads(self.tokenizer.to_str())
         before = form["pre_tokenizer"] or {}
         usual = before.get("type") == "ByteLevel" and not before["add_prefix_space"] and before["use_regex"]
@@ -144,24 +162,80 @@ class Encoder:
             else:
                 yield from ((w, data[a:b]) for w, a, b in zip(some, [0, *(c + 4 for c in cuts)], [*cuts, len(data)]))
 
-    def _split(self, text: str) -> list[str] | None:
-        """Words with the space before them, and line ends; None if the text must be encoded whole."""
-        if not text or text[0] in " \n" or text[-1] in " \n" or any(gap in text for gap in _GAPS) or any(a in text for a in self.added):
-            return None
-        return _WORD.findall(text)
-
-    def encode(self, batch: list[str]) -> Iterator[bytes]:
-        known, parts = self.known, []
-        known.turn()
-        for text in batch:
-            words = self._split(text)
-            parts.append(None if words is None else list(map(known.__getitem__, words)))
-        known.learn(self._found(known.taken()))
-        for text, ids in zip(batch, parts):
-            if ids is None or None in ids:
-                yield self._ids(text) if text else b""
-            else:
-                yield b"".join(ids)
+    def _cut(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, where words begin, then the end; number of words before each text, then of all; whether a text may be encoded by words).
+
+        A word has the single space before it; a line end is one. Not by words: empty texts, texts with white space at an end or two
+        such characters in a row, texts that hold an added token's string.
+        """
+        data, ends = binary(text)
+        line = data == 10
+        gap = line | (data == 32)
+        begins = gap.copy()
+        begins[1:] |= line[:-1]
+        size = np.diff(ends)
+        some = size > 0
+        begins[ends[:-1][some]] = True
+        fine = some.copy()
+        fine[some] = ~gap[ends[:-1][some]] & ~gap[ends[1:][some] - 1]
+        twice = np.flatnonzero(gap[1:] & gap[:-1])
+        fine[np.searchsorted(ends, twice, side="right") - 1] = False
+        for token in self.added:
+            fine &= ~pc.match_substring(text, token).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(begins)
+        return data, np.append(at, len(data)), np.searchsorted(at, ends), fine
+
+    def _places(self, data: np.ndarray, begin: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Slots of the wanted words; new ones are encoded."""
+        one, two = spelled(data, begin)[wanted], spelled(~data, begin)[wanted]
+        if self.known.used * 2 > self.known.slots:
+            self.known.clear()
+        place = self.known.find(one, two)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            _, first = np.unique(one[new], return_index=True)
+            first = new[first]
+            raw, where = data.tobytes(), np.flatnonzero(wanted)[first]
+            words = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(begin[where].tolist(), begin[where + 1].tolist())]
+            ids = dict(self._found([w for w in words if _alone(w)]))
+            if 2 * (self.known.used + len(words)) > self.known.slots:
+                # The part alone must fit: the table grows for it.
+                while 4 * (len(words) + 1) > self.known.slots:
+                    self.known.slots *= 2
+                self.known.clear()
+                return self._places(data, begin, wanted)
+            self.known.learn(one[first], two[first], [ids.get(w) for w in words])
+            place[new] = self.known.find(one[new], two[new])
+            if (place < 0).any():  # words with one hash in common: the others come in the next turn
+                return self._places(data, begin, wanted)
+        return place
+
+    def encode(self, batch: pa.Array) -> Iterator[bytes]:
+        """Ids of each text."""
+        texts = batch.fill_null("")
+        for text in parts_of(texts, PART):
+            data, begin, before, fine = self._cut(text)
+            counts = np.diff(before)
+            wanted = np.repeat(fine, counts)
+            place = self._places(data, begin, wanted) if wanted.any() else np.zeros(0, np.int64)
+            sizes = np.zeros(len(wanted), dtype=np.int64)
+            sizes[wanted] = self.known.count[place]
+            odd = sizes == Words.WHOLE
+            if odd.any():
+                fine[np.searchsorted(before, np.flatnonzero(odd), side="right") - 1] = False
+                sizes[odd] = 0
+            start = np.zeros(len(wanted), dtype=np.int64)
+            start[wanted] = self.known.at[place]
+            ends = np.cumsum(sizes)
+            total = int(ends[-1]) if len(ends) else 0
+            flat = self.known.pool[np.repeat(start - (ends - sizes), sizes) + np.arange(total)].astype("<u4").tobytes()
+            cuts = (4 * np.concatenate([[0], ends])[before]).tolist()
+            for k, ok in enumerate(fine.tolist()):
+                if ok:
+                    yield flat[cuts[k] : cuts[k + 1]]
+                else:
+                    whole = text[k].as_py()
+                    yield self._ids(whole) if whole else b""
 
 
 _encoders: dict[str, Encoder] = {}
@@ -253,8 +327,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         for batch in batches:
             keys, rows = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(keys), 500):
-                some = [t or "" for t in rows.slice(at, 500).to_pylist()]
-                for key, ids in zip(keys[at : at + 500], encode(some)):
+                for key, ids in zip(keys[at : at + 500], encode(rows.slice(at, 500))):
                     held.append((key, ids + end))
                     size += len(ids) + 4
                     if size >= FILE_BYTES:
