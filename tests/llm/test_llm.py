@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from recordloom.llm import decontamination, passages, pieces, repeats, secrets, sharding, simhash, substrings, symbols, tokens, topk, toxicity
@@ -208,11 +209,12 @@ def test_token_files(spark, docs):
 def test_encoder_on_odd_texts():
     """Words encoded apart, with a cache that turns over at each batch, against the library on whole texts."""
     encoder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    encoder.known.limit = 2
-    odd = ["a  b", " a", "a\n", "a\tb c", "a \tb", "a\xa0 b", "a\x1cb \x1c", "\u3000a b", "a\r\nb", "x\n y", "don't they'll X'S 'tis", "x_y (z)... 12³ ½a", "nul\0 a\0b", "中文 é 👍🏽 z", "ǅ ɐ ª_", "\n", " ", ""]
-    for batch in (odd, odd[::-1], [t or "" for t in TEXTS], odd):
-        want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in batch]
-        assert list(encoder.encode(batch)) == want
+    odd = ["a  b", " a", "a\n", "a\tb c", "a \tb", "a\xa0 b", "a\x1cb \x1c", "\u3000a b", "a\r\nb", "x\n y", "don't they'll X'S 'tis", "x_y (z)... 12³ ½a", "nul\0 a\0b", "中文 é 👍🏽 z", "ǅ ɐ ª_", "\n", " ", "", "a\nb c\nd", "<|endoftext|> a"]
+    for slots in (4, 64, 1 << 12):
+        encoder.known = tokens.Words(slots)
+        for batch in (odd, odd[::-1], [t or "" for t in TEXTS], odd):
+            want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in batch]
+            assert list(encoder.encode(pa.array(batch))) == want
 
 
 def test_spelling_gathers_texts():
