@@ -17,6 +17,7 @@ from ..operators.ordering import Key, columns, descriptors_of, order_of
 from ..sources.store import Store, durable, with_positions
 
 HISTORY = 12
+RESULTS = 32  # plans of filter results that are kept for repeated criteria
 
 
 class Result:
@@ -223,6 +224,11 @@ class FilterEngine(_Engine):
         self.narrowing = filter_by_previous_result
         self.reset_filter_state()
         self._whole: tuple[int, Result] | None = None
+        self._results: OrderedDict[tuple, Result] = OrderedDict()
+
+    def clear_indexes(self):
+        self._results.clear()
+        return self
 
     def reset_filter_state(self):
         self._previous: tuple | None = None  # result, criteria, key, base
@@ -242,9 +248,19 @@ class FilterEngine(_Engine):
         base = self._base() if stored else self.source(args[0])
         new = P.resolve(args[-1])
         if not self.narrowing:
-            return self._run(base, new)
+            return self._repeated(base, new) if stored else self._run(base, new)
         return self._sequential(base, new, stored)
 
+    def _repeated(self, base: Result, criteria) -> Result:
+        """The same result object for criteria that were asked lately of the same version."""
+        key = (self.store.version, P.criteria_key(criteria))
+        if key not in self._results:
+            self._results[key] = self._run(base, criteria)
+            while len(self._results) > RESULTS:
+                self._results.popitem(last=False)
+        self._results.move_to_end(key)
+        return self._results[key]
+
     def _run(self, base: Result, criteria) -> Result:
         if not criteria:
             return base

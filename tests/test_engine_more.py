@@ -168,6 +168,21 @@ def test_sequential_filters(users):
     assert ids(f.filter([city("Kyiv"), age(1)])) == [9]
 
 
+def test_repeated_criteria_give_the_same_result(users):
+    f = FilterEngine(users, keys=["id"])
+    age = lambda *v: [{"field": "age", "values": list(v)}]
+    first = f.filter(age(30, 25))
+    assert f.filter(age(25, 30)) is first and f.filter(users, age(25, 30)) is not first
+    for k in range(31):
+        f.filter(age(100 + k))
+    assert f.filter(age(25, 30)) is first and len(f._results) == 32
+    f.filter(age(999))
+    assert f.filter(age(100)) is not first and len(f._results) == 32
+    f.add([{"id": 9, "name": "N", "city": "X", "age": 30}])
+    assert ids(f.filter(age(25, 30))) == [1, 2, 3, 9]
+    assert not f.clear_indexes()._results
+
+
 def test_empty_descriptors_and_adhoc_data(users, spark):
     s = SortEngine(users, keys=["id"])
     assert ids(s.sort([])) == [1, 2, 3, 4, 5]
