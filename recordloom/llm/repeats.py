@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from .common import cut, without
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-BLOCK_BYTES = 12 << 20  # text of a block; a longer text is a block of its own
+BLOCK_BYTES = 8 << 20  # text of a block; a longer text is a block of its own
 CHUNK = 1 << 17  # items whose windows are named at once
 PIECE = 256  # windows of a segment at most: longer runs (of one letter, say) are cut
 HOT = 4096  # runs of a name from which its windows go one by one
