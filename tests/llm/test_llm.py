@@ -88,7 +88,7 @@ def test_repeats_in_small_parts(spark, docs, monkeypatch, block, hot, chunk, ind
             try:
                 yield from run(batches)
             finally:  # Python workers are used again
-                repeats.HOT, repeats.CHUNK, repeats.BLOCK_BYTES, substrings.INDEX_BYTES = 4096, 1 << 17, 12 << 20, 1 << 20
+                repeats.HOT, repeats.CHUNK, repeats.BLOCK_BYTES, substrings.INDEX_BYTES = 4096, 1 << 17, 8 << 20, 1 << 20
 
         return again
 
