@@ -48,6 +48,7 @@ MAX_PACKED = 160 << 20
 SEEN = 1 << 21  # slots of a task's table of units that it has sent
 GROUPS = 1 << 16
 PART = 1 << 18  # bytes of text that are cut at once; a longer text is a part of its own
+HEAD = 3  # characters by which longer pieces are bounded
 LONG = 61  # characters of a unit that the fold by rank takes: its borders are the bits of a long
 _UNIT = re.compile(f"\\n|{MARK}*[^{MARK}\\n]+|{MARK}+")
 
@@ -141,28 +142,26 @@ def _walk(n, best):
     return F.aggregate(F.sequence(n, F.lit(1), F.lit(-1)), state, step, lambda s: s["ids"])
 
 
-def _merged(unit, edges):
-    """ids after joining neighbours by rank; a fold over at most n - 1 joins.
+def _merged(unit, edges, many):
+    """Keys of a unit's pieces after joining neighbours by rank; a fold over at most n - 1 joins.
 
     An edge is (key, ends, span): key is rank, start, length and id, so that the least is the best and leftmost (or minus the place of a
-    character without a piece), ends and span the bits of its two borders and of all from one to the other. The state holds the borders
-    left and the edges that may still join: an edge joins two neighbours if it has three of them, its ends
-    among these.
+    character without a piece), ends and span the bits of its two borders and of all from one to the other; many are those of two
+    characters or more. The state holds the borders left and the edges that may still join: an edge joins two neighbours if it has three
+    of the borders, its ends among these.
     """
     n = F.char_length(unit)
-    kept = lambda e, borders: borders.bitwiseAND(e["ends"]) == e["ends"]
-    inside = lambda e, borders: F.bit_count(borders.bitwiseAND(e["span"]))
+    within = lambda e, borders: borders.bitwiseAND(e["span"])
 
     def step(s, _):
-        choice = F.array_min(F.filter(s["edges"], lambda e: inside(e, s["borders"]) == 3))
-        joined = lambda c: F.transform(F.array(s["borders"].bitwiseAND(F.bitwise_not(c["span"])).bitwiseOR(c["ends"])), lambda b: F.struct(b.alias("borders"), F.filter(s["edges"], lambda e: kept(e, b) & (inside(e, b) > 2)).alias("edges")))
+        choice = F.array_min(F.filter(s["edges"], lambda e: F.bit_count(within(e, s["borders"])) == 3))
+        joined = lambda c: F.transform(F.array(s["borders"].bitwiseAND(F.bitwise_not(c["span"])).bitwiseOR(c["ends"])), lambda b: F.struct(b.alias("borders"), F.filter(s["edges"], lambda e: (b.bitwiseAND(e["ends"]) == e["ends"]) & (within(e, b) != e["ends"])).alias("edges")))
         after = lambda c: F.when(c.isNull(), F.struct(s["borders"].alias("borders"), F.slice(s["edges"], 1, 0).alias("edges"))).otherwise(F.get(joined(c), F.lit(0)))
         return F.when(F.size(s["edges"]) == 0, s).otherwise(F.get(F.transform(F.array(choice), after), F.lit(0)))
 
-    many = F.filter(edges, lambda e: F.bit_count(e["span"]) > 2)
     first = F.struct((F.expr(f"shiftleft(2L, char_length({unit}))") - F.lit(1)).cast("long").alias("borders"), many.alias("edges"))
     borders = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), first, step, lambda s: s["borders"])
-    left = F.get(F.transform(F.array(borders), lambda b: F.filter(edges, lambda e: kept(e, b) & (inside(e, b) == 2))), F.lit(0))
+    left = F.get(F.transform(F.array(borders), lambda b: F.filter(edges, lambda e: within(e, b) == e["ends"])), F.lit(0))
     return F.transform(F.sort_array(F.transform(left, lambda e: F.struct(e["ends"], e["key"]))), lambda e: e["key"])
 
 
@@ -219,20 +218,31 @@ def _grouping(spark: SparkSession):
         spark.conf.set(name, before)
 
 
+def _with(df: DataFrame, text: str, rows: list[tuple], schema: str) -> DataFrame:
+    """df with the row, if any, whose first column may be its text: to be compared. rows are at most MAX_PIECES, broadcast."""
+    # A long is looked up several times faster than a string; strings are compared after it.
+    hashed = len({xxhash.xxh64_intdigest(r[0].encode(), 42) for r in rows}) == len(rows)
+    key_of = F.xxhash64 if hashed else F.col
+    table = df.sparkSession.createDataFrame(rows, schema)
+    return df.withColumn("key", key_of(text)).join(F.broadcast(table.withColumn("key", key_of(table.columns[0]))), "key", "left").drop("key")
+
+
 def lattice(units: DataFrame, model: Model) -> DataFrame:
     """unit, ids of each row of units (unit: distinct, not empty)."""
     spark = units.sparkSession
-    pieces = spark.createDataFrame(model.rows, "name string, id int, score double, rank int")
-    # A long is looked up several times faster than a string; names are compared after it.
-    hashed = len({xxhash.xxh64_intdigest(p.encode(), 42) for p, *_ in model.rows}) == len(model.rows)
-    key_of = F.xxhash64 if hashed else F.col
     n = F.char_length("unit")
     short = units.where(n <= LONG) if model.ranked else units
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     starts = short.repartition(parts, "unit").select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    spans = starts.select("unit", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + model.longest, n))).alias("end"))
+    # Substrings of more than HEAD characters are made only as far as pieces with the same first ones go.
+    longest: dict[str, int] = {}
+    for name, *_ in model.rows:
+        longest[name[:HEAD]] = max(len(name), longest.get(name[:HEAD], 0))
+    headed = _with(starts.withColumn("head", F.substring("unit", F.col("start") + 1, F.lit(HEAD))), "head", sorted(longest.items()), "first string, longest int")
+    limit = F.greatest(F.lit(1), F.coalesce(F.when(F.col("first") == F.col("head"), F.col("longest")), F.lit(HEAD - 1)))
+    spans = headed.select("unit", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + limit, n))).alias("end"))
     spans = spans.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("end") - F.col("start")))
-    met = spans.withColumn("key", key_of("piece")).join(F.broadcast(pieces.withColumn("key", key_of("name"))), "key", "left")
+    met = _with(spans, "piece", model.rows, "name string, id int, score double, rank int")
     same = F.col("name") == F.col("piece")
     found = met.where(same | (F.col("end") == F.col("start") + 1)).withColumns({c: F.when(same, F.col(c)) for c in ("id", "score", "rank")})
     table_of_bytes = F.array(*[F.lit(model.bytes.get(b, model.unk_id)) for b in range(256)])
@@ -243,11 +253,11 @@ def lattice(units: DataFrame, model: Model) -> DataFrame:
 
     if model.ranked:
         key = F.coalesce(F.expr("shiftleft(CAST(rank AS long), 32) | shiftleft(CAST(start AS long), 26) | shiftleft(end - start, 20) | id"), -F.col("start").cast("long") - 1)
-        found = found.groupBy("unit").agg(F.collect_list(key).alias("found"))
-        start, length = "IF(k < 0, -k - 1, shiftright(k, 26) & 63)", "IF(k < 0, 1, shiftright(k, 20) & 63)"
-        edge = f"named_struct('key', k, 'ends', shiftleft(1L, CAST({start} AS int)) | shiftleft(1L, CAST({start} + {length} AS int)), 'span', shiftleft(shiftleft(2L, CAST({length} AS int)) - 1, CAST({start} AS int)))"
-        edges = found.select("unit", F.expr(f"transform(found, k -> {edge})").alias("edges"))
-        keys = edges.select("unit", _merged("unit", F.col("edges")).alias("keys"))
+        ends = F.expr("shiftleft(1L, start) | shiftleft(1L, end)")
+        span = F.expr("shiftleft(shiftleft(2L, end - start) - 1, start)")
+        edge = F.struct(key.alias("key"), ends.alias("ends"), span.alias("span"))
+        edges = found.groupBy("unit").agg(F.collect_list(edge).alias("edges"), F.collect_list(F.when(F.col("end") - F.col("start") > 1, edge)).alias("many"))
+        keys = edges.select("unit", _merged("unit", F.col("edges"), F.col("many")).alias("keys"))
         plain = F.transform("keys", lambda k: k.bitwiseAND(F.lit(MAX_PIECES - 1)).cast("int"))
         mixed = F.flatten(F.transform("keys", lambda k: F.when(k >= 0, F.array(k.bitwiseAND(F.lit(MAX_PIECES - 1)).cast("int"))).otherwise(spelled(F.substring(F.col("unit"), (-k).cast("int"), F.lit(1))))))
         ids = F.when(F.array_min("keys") >= 0, plain).otherwise(mixed)
