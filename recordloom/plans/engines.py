@@ -164,9 +164,10 @@ class SearchEngine(_Engine):
     def warnings(self) -> list[str]:
         return list(self.warned.values())
 
-    def _record(self, scope: str, indexed: bool, query: str, reason: str = "") -> None:
+    def _record(self, scope: str, indexed: bool, query: str, reason: str, narrowed: bool) -> None:
+        """Counts a search; one over all rows of the dataset, not of a narrowing, also warns."""
         self._stats.setdefault(scope, [0, 0])[not indexed] += 1
-        if not indexed and not self.silent and utf16_length(query) >= 2 and (scope, query, reason) not in self.warned:
+        if not indexed and not narrowed and not self.silent and utf16_length(query) >= 2 and (scope, query, reason) not in self.warned:
             self.warned[scope, query, reason] = f"search on {scope} for {query!r} scans all rows: {reason}"
             warnings.warn(self.warned[scope, query, reason], stacklevel=4)
 
@@ -203,11 +204,11 @@ class SearchEngine(_Engine):
             known = field in self.fields or field in self.nested
             if not known and self.fields and long and not narrowed:
                 return Result(self, rows.limit(0), by_row)
-            self._record(field, known and long, query, "too short" if known else "field isn't configured")
+            self._record(field, known and long, query, "too short" if known else "field isn't configured", narrowed)
             return Result(self, self._candidates(rows, field, query).where(X.matches(rows, field, query, self.nested)), by_row)
         configured = [*self.fields, *self.nested]
         fields = configured or text_fields(rows)
-        self._record("*", bool(configured) and long, query, "too short" if configured else "no fields are configured")
+        self._record("*", bool(configured) and long, query, "too short" if configured else "no fields are configured", narrowed)
         found = rows.where(X.matches_any(rows, fields, query, self.nested))
         if narrowed and not self.nested:
             return Result(self, found, base.order)

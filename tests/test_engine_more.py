@@ -146,6 +146,11 @@ def test_search_statistics_and_warnings(users):
     assert sum("scans all rows" in str(w.message) for w in seen) == 1 and len(free.warnings()) == 1 and not s.warnings()
     s.reset_stats()
     assert s.stats()["total"] == 0
+    near = SearchEngine(users, keys=["id"], filter_by_previous_result=True)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        near.search("ky"), near.search("kyi")
+    assert len(near.warnings()) == 1 and near.stats()["fallback"] == 2
 
 
 def test_nested_fields_in_all_fields(spark):
