@@ -43,13 +43,14 @@ class Words(Items):
         # Each word byte once, and a space after each word's last.
         times = (~blank).astype(np.int8) + ends
         out = np.repeat(data, times)
-        places = np.cumsum(times, dtype=np.int64)
+        kind = np.int32 if len(data) < 1 << 30 else np.int64
+        places = np.cumsum(times, dtype=kind)
         last = places[ends] - 1  # of the spaces
         out[last] = 32
         self.data, self.raw = out, out.tobytes()
-        self.begin = np.concatenate([[0], last + 1])  # of each word, and the end
+        self.begin = np.concatenate([np.zeros(1, kind), last + 1])  # of each word, and the end
         self.n = len(last)
-        self.starts = np.concatenate([[0], np.cumsum(ends, dtype=np.int64)])[offsets]
+        self.starts = np.concatenate([np.zeros(1, kind), np.cumsum(ends, dtype=kind)])[offsets].astype(np.int64)
 
     def tokens(self, a: int, b: int) -> np.ndarray:
         begin = self.begin[a : b + 1]

@@ -437,13 +437,14 @@ def _finished(ids_at, text_at, items_of, buckets, finish, kept, schema):
 
 def covered_counts(items: Items, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(items, covered items, maximal covered runs) of each text."""
-    total = np.concatenate([[0], np.cumsum(covered, dtype=np.int64)])
+    kind = np.int32 if len(covered) < 1 << 31 else np.int64
+    total = np.concatenate([np.zeros(1, kind), np.cumsum(covered, dtype=kind)])
     begins = covered.copy()
     begins[1:] &= ~covered[:-1]
     edge = items.starts[:-1][np.diff(items.starts) > 0]
     begins[edge] = covered[edge]
-    runs = np.concatenate([[0], np.cumsum(begins, dtype=np.int64)])
-    return np.diff(items.starts), np.diff(total[items.starts]), np.diff(runs[items.starts])
+    runs = np.concatenate([np.zeros(1, kind), np.cumsum(begins, dtype=kind)])
+    return np.diff(items.starts), *(np.diff(x[items.starts]).astype(np.int64) for x in (total, runs))
 
 
 def without_repeats(docs: DataFrame, prepared: Callable, judge: Callable, finish: Callable, added: str) -> DataFrame:
