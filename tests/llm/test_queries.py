@@ -296,3 +296,18 @@ def test_op10(spark, folder):
         assert list(got[k].ids) == sp.encode(t or "") and got[k].n_pieces == len(got[k].ids) and got[k].round_trip
     odd = spark.createDataFrame([(None, "a b", 1), (None, "a b", 1), (3, None, 2)], "doc_id long, text string, ids int")
     assert sorted(len(r.ids) for r in pieces.encode(odd, public_tokenizers.path("piece_bpe_32k.model")).collect()) == [0, 2, 2]
+
+
+def test_pipeline_stages_on_odd_rows(spark, folder):
+    """Nulls, empty and repeated rows, rows without an id, long texts, columns named like added ones, an empty table."""
+    import corpus_pipeline
+
+    rows = [(1, None), (2, ""), (None, "plain words here"), (3, "one text of five words or more"), (3, "one text of five words or more"), (4, "y z " * 30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "length(text) AS n_chars", "1 AS score", "2 AS n_hit", "3 AS spans", "4 AS fp")
+    every = sorted(rows, key=str)
+    for (name, stage), kept in zip(corpus_pipeline.STAGES[:-1], [every, sorted([rows[0], *rows[2:4], rows[5]], key=str), every, every]):
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == kept, name
+        assert stage(spark, docs.limit(0), folder).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == len(rows)
