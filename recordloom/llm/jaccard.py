@@ -1,13 +1,21 @@
-"""Near duplicates by the Jaccard similarity of five-word shingles, at 0.8 or more.
+"""Near duplicates by SimHash and multi-index hashing, verified by the Jaccard similarity of five-word shingles, at 0.8 or more.
 
 A text is lower-cased (A-Z), cut into words, and its shingles of 5 words are hashed by XXH64; a text of
 fewer words is one shingle. Texts of the same words collapse first, so exact copies never meet as pairs.
-Candidates come from BANDS x ROWS least hashes: texts whose ROWS values of one band agree share a bucket.
-A pair at 0.8 shares none with a probability of (1 - 0.8^6)^60, about 1e-8; no link is made on that
-alone: every one is verified by the exact Jaccard similarity of the two sets of shingle hashes. Buckets
-of one member are dropped, and buckets of the same members are verified once. A bucket is searched
-breadth-first from one unvisited member at a time, so that it gives a spanning forest of its links
-rather than all pairs. Components come from simhash.components.
+The fingerprint is a SimHash of the set of shingles, as wide as a similarity of 0.8 needs: a bit is set if
+it is set in more than half of the shingles' hashes, and two sets at 0.8 differ in each bit with a
+probability of 0.15 (DIFFER at the most, for sets of 4 and 5). Its first SIGN bits are compared; the
+others are the segments of the multi-index, so many and so wide as plan() says for the number of texts.
+Texts that agree in a segment share a bucket; there, all that differ in at most APART of the SIGN bits (TINY
+for sets of 5 or less), and whose sets' sizes allow for 0.8, are grouped, directly or through others. A pair at 0.8 is in no group with a probability of about MISS for
+sets of 4 and 5, and of 1e-8 or less for others. Segments are read some at a time, to bound what is moved
+at once. Groups that have texts in common make a cluster, whose sets of shingle hashes meet in one task: no
+link is made on fingerprints alone, each is verified by the exact Jaccard similarity of the two whole sets.
+In a cluster of more than HELD texts the sets meet group by group instead: those of the first segments, then
+of all others that aren't within one component of the links found by then. The sets are searched
+breadth-first from one unvisited member at a time, so that they give a spanning forest of the links rather
+than all pairs. Sets of less than 4 shingles are similar at 0.8 to none but their copies. Components come from
+simhash.components.
 
 Edge cases: null or empty texts, or texts without words, are copies of each other and near nothing else;
 an empty table gives no rows; repeated rows are repeated documents; a null doc_id is never a component's
@@ -16,6 +24,8 @@ id unless the component has no other; very long texts are hashed whole.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,13 +35,16 @@ from pyspark.sql import functions as F
 from . import simhash
 from .common import annotate, cut
 
-SHINGLE, BANDS, ROWS, SEED = 5, 60, 6, 42
-PART = 1024  # shingles whose least hashes are taken at once
+SHINGLE, SEED = 5, 42
+SIGN, APART, TINY = 384, 100, 116  # bits that are compared, how many of them may differ, and that for sets of 5 or less
+DIFFER, MISS = 0.1875, 1e-6
+LEAST = 4  # shingles of a set that can be near another
+FIRST, ROUND = 8, 32  # segments that are read at once, at first and later
+HELD, SENT = 4096, 1 << 20  # texts of a cluster that one task compares whole; texts that are looked up by a broadcast
+PART = 255  # shingles whose bits are added up at once, in bytes
+WHOLE = 512  # texts of a bucket that are compared all with all at once
 _RANDOM = np.random.default_rng(SEED)
-_TIMES = _RANDOM.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_PLUS = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
-_MIX = _RANDOM.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BAND = _RANDOM.integers(0, 1 << 63, BANDS, dtype=np.uint64)
+_PLUS = _RANDOM.integers(0, 1 << 63, 2048, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -55,15 +68,25 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.array([one(joined[a:b], SEED) for a, b in zip(starts, ends[min(n, SHINGLE) - 1 :])], dtype=np.uint64))
 
 
-def buckets(hashes: np.ndarray) -> list[int]:
-    """One signed 64-bit bucket number for each band; none for an empty set."""
-    if not len(hashes):
-        return []
-    low = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
-    for at in range(0, len(low), PART):
-        np.minimum(least, (low[at : at + PART, None] * _TIMES + _PLUS).min(axis=0), out=least)
-    return ((least.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64) + _BAND).view(np.int64).tolist()
+def plan(n: int) -> tuple[int, int]:
+    """(bits of a segment, segments) for n texts: some 100 unlike texts a bucket, and a pair at 0.8 misses all segments with MISS."""
+    bits = min(26, max(8, math.ceil(math.log2(max(n, 1))) - 7))
+    return bits, math.ceil(math.log(MISS) / math.log1p(-((1 - DIFFER) ** bits)))
+
+
+def fingerprint(hashes: np.ndarray, bits: int) -> bytes | None:
+    """The SimHash of the set, `bits` wide; none for a set that is near no other."""
+    if len(hashes) < LEAST:
+        return None
+    words = -(-bits // 64)
+    count = np.zeros(64 * words, dtype=np.int64)
+    for at in range(0, len(hashes), PART):
+        x = hashes[at : at + PART, None] + _PLUS[:words]  # SplitMix64, one stream a word
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        count += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(count[:bits] * 2 > len(hashes)).tobytes()
 
 
 def near(both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -120,6 +143,91 @@ def _verify(batches):
         yield done()
 
 
+def _row() -> np.dtype:
+    return np.dtype([("bucket", "<u4"), ("key", "<i8"), ("size", "<u4"), ("sign", "<u8", (SIGN // 64,))])
+
+
+def _spread(bits: int, first: int, last: int, slices: int):
+    """Rows (slice, packed rows of _row) of the buckets of segments first to last; a slice holds whole buckets."""
+
+    def run(batches):
+        powers = 1 << np.arange(bits, dtype=np.uint32)
+        number = np.arange(last - first, dtype=np.uint32) << np.uint32(bits)
+        for batch in (whole.slice(at, 4096) for whole in batches for at in range(0, whole.num_rows, 4096)):
+            prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            cells = np.unpackbits(prints, axis=1)[:, SIGN + first * bits : SIGN + last * bits].reshape(batch.num_rows, last - first, bits)
+            rows = np.empty((batch.num_rows, last - first), dtype=_row())
+            rows["bucket"] = cells @ powers + number
+            rows["key"] = batch.column(0).to_numpy()[:, None]
+            rows["size"] = batch.column(2).to_numpy()[:, None]
+            rows["sign"] = np.ascontiguousarray(prints[:, : SIGN // 8]).view("<u8")[:, None, :]
+            rows = rows.ravel()
+            place = (rows["bucket"] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(slices)
+            order = np.argsort(place, kind="stable")
+            rows, place = rows[order], place[order]
+            starts = np.nonzero(np.concatenate([[True], place[1:] != place[:-1]]))[0]
+            blobs = [rows[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(rows)])]
+            yield pa.RecordBatch.from_arrays([pa.array(place[starts].astype(np.int32)), pa.array(blobs, pa.binary())], names=["slice", "rows"])
+
+    return run
+
+
+def _apart(sign: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Differing bits of signs, whose words are the first axis."""
+    parts = [sum(np.bitwise_count(x ^ y) for x, y in zip(sign[at : at + 3], signs[at : at + 3])) for at in range(0, len(sign), 3)]  # 192 bits fit a byte
+    return sum(x.astype(np.uint16) for x in parts)
+
+
+def _alike(sign: np.ndarray, signs: np.ndarray, size: int, sizes: np.ndarray) -> np.ndarray:
+    """Whether sets of these signs and sizes may be similar at 0.8 to the set of this sign and size."""
+    low, high = np.minimum(size, sizes), np.maximum(size, sizes)
+    return (_apart(sign, signs) <= np.where(low > 5, APART, TINY)) & (5 * low >= 4 * high)
+
+
+def groups(signs: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Positions of the sets that are alike by signs (a row each) and sizes, directly or through others."""
+    rest, out, words = np.arange(len(signs)), [], np.ascontiguousarray(signs.T)
+    if len(signs) <= WHOLE:
+        rest = np.nonzero((_apart(words[:, :, None], words[:, None, :]) <= TINY).sum(axis=1) > 1)[0]
+    while len(rest):
+        queue, rest = [int(rest[0])], rest[1:]
+        group = queue[:]
+        while queue and len(rest):
+            node = queue.pop()
+            hit = _alike(words[:, node, None], words[:, rest], sizes[node], sizes[rest])
+            found, rest = rest[hit].tolist(), rest[~hit]
+            group += found
+            queue += found
+        if len(group) > 1:
+            out.append(np.array(group))
+    return out
+
+
+def _grouped(batches):
+    """Rows (bucket, key, low) of the groups of each bucket, low the least key; a group is named by its members, so that equal ones are one."""
+    rows = np.frombuffer(b"".join(x for batch in batches for x in batch.column(1).to_pylist()), _row())
+    rows = rows[np.argsort(rows["bucket"], kind="stable")]
+    keys, sizes, signs = np.ascontiguousarray(rows["key"]), rows["size"].astype(np.int64), np.ascontiguousarray(rows["sign"])
+    starts = np.nonzero(np.diff(rows["bucket"].astype(np.int64), prepend=-1))[0]
+    named = {}
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)]):
+        for group in groups(signs[a:b], sizes[a:b]) if b - a > 1 else ():
+            found = np.sort(keys[a:b][group])
+            named[xxhash.xxh64_intdigest(found.tobytes(), SEED) - (1 << 63)] = found
+    if named:
+        sizes = [len(x) for x in named.values()]
+        lows = [x[0] for x in named.values()]
+        columns = [np.repeat(np.fromiter(named, np.int64), sizes), np.concatenate(list(named.values())), np.repeat(lows, sizes)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "key", "low"])
+
+
+def members(prints: DataFrame, bits: int, first: int, last: int) -> DataFrame:
+    """bucket, key, low: groups of two or more alike sets of prints (key, bits, size) that share one of the segments first to last."""
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = prints.where("bits is not null").select("key", "bits", "size").mapInArrow(_spread(bits, first, last, 4 * parts), "slice int, rows binary")
+    return rows.repartition(parts, "slice").mapInArrow(_grouped, "bucket long, key long, low long").distinct()
+
+
 def _sets(batches):
     """key, hashes of the rows (key, text) whose text has that key."""
     for batch in batches:
@@ -127,25 +235,59 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["key", "hashes"])
 
 
-def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
-    """u > v: verified links between keys of prints (key, doc, buckets), enough to connect all that are connected."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = prints.select("key", F.explode("buckets").alias("bucket"))
-    size = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("members")).where("n > 1")
-    one = size.groupBy("n", "members").agg(F.min("bucket").alias("bucket")).select("bucket")
-    members = cut(rows.join(one, "bucket").select("bucket", "key"))
-    wanted = prints.join(members.select("key").distinct(), "key").select("key", F.col("doc").alias("__doc"))
-    sets = docs.join(wanted, docs.doc_id.eqNullSafe(F.col("__doc"))).select("key", "text").mapInArrow(_sets, "key long, hashes binary").dropDuplicates(["key"])
+def _verified(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """u > v: verified links of the groups members (bucket, key)."""
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     filled = members.join(sets, "key").select("bucket", "key", "hashes")
     return filled.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_verify, "u long, v long").distinct()
 
 
+def _edges(root: DataFrame) -> DataFrame:
+    return root.where("node <> root").select(F.greatest("node", "root").alias("u"), F.least("node", "root").alias("v"))
+
+
+def components(docs: DataFrame, prints: DataFrame, bits: int, segments: int) -> DataFrame:
+    """node, root: the components of the keys of prints (key, doc, bits, size) that have a verified link."""
+    spark = docs.sparkSession
+    found = []
+    for first, last in zip([0, *range(FIRST, segments, ROUND)], [FIRST, *range(FIRST + ROUND, segments + ROUND, ROUND)]):
+        found.append(cut(members(prints, bits, first, min(last, segments))))
+        spark.sparkContext._jvm.System.gc()  # Spark deletes the shuffles that nothing refers to
+    every = found[0]
+    for x in found[1:]:
+        every = every.unionAll(x)
+    cluster = cut(simhash.components(every.where("key > low").select(F.col("key").alias("u"), F.col("low").alias("v")).distinct()))
+    wanted = prints.join(cluster, prints.key == cluster.node).select("key", F.col("doc").alias("__doc"))
+    if cluster.count() <= SENT:
+        wanted = F.broadcast(wanted)
+    sets = cut(docs.join(wanted, docs.doc_id.eqNullSafe(F.col("__doc"))).select("key", "text").mapInArrow(_sets, "key long, hashes binary").dropDuplicates(["key"]))
+    size = cluster.groupBy("root").agg(F.count("*").alias("n"))
+    large = cut(cluster.join(size.where(F.col("n") > HELD).select("root"), "root").select(F.col("node").alias("key")))
+    small = cluster.join(size.where(F.col("n") <= HELD).select("root"), "root").select(F.col("root").alias("bucket"), F.col("node").alias("key"))
+    if not large.count():
+        return simhash.components(_verified(small, sets))
+    begun = found[0].join(large, "key").select("bucket", "key")
+    root = cut(simhash.components(_verified(small.unionAll(begun), sets)))
+    later = cut(every.select("bucket", "key").distinct().join(large, "key"))
+    named = later.join(root, later.key == root.node, "left").groupBy("bucket").agg(F.min(F.coalesce("root", "key")).alias("low"), F.max(F.coalesce("root", "key")).alias("high"))
+    across = later.join(named.where("low < high").select("bucket"), "bucket").select("bucket", "key")
+    return simhash.components(_edges(root).unionAll(_verified(across, sets)).distinct())
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, key, component_id: the smallest doc_id among all documents linked directly or through others."""
     docs = docs.select("doc_id", "text")
-    rows = cut(annotate(docs, ["text"], lambda text: [[key(t) for t in text], [buckets(shingles(t)) for t in text]], "key long, buckets array<long>").select("doc_id", "key", "buckets"))
-    prints = cut(rows.groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("buckets").alias("buckets")))
-    root = simhash.components(links(docs, prints))
+    bits, segments = plan(docs.count())
+
+    width = SIGN + bits * segments
+
+    def measure(text):
+        sets = [shingles(t) for t in text]
+        return [[key(t) for t in text], [fingerprint(x, width) for x in sets], [len(x) for x in sets]]
+
+    rows = cut(annotate(docs, ["text"], measure, "key long, bits binary, size int").select("doc_id", "key", "bits", "size"))
+    prints = cut(rows.groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("bits").alias("bits"), F.first("size").alias("size")))
+    root = components(docs, prints, bits, segments)
     linked = prints.select("key", "doc").join(root, prints.key == root.node)
     low = linked.groupBy("root").agg(F.min("doc").alias("low"))
     moved = linked.join(low, "root").select("key", "low")

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from recordloom.llm import jaccard, simhash
 
 RNG = random.Random(5)
@@ -73,3 +75,46 @@ def test_pipeline_stage_drops_texts_similar_at_0_8(spark):
 
     docs = spark.createDataFrame([(1, " ".join(BASE)), (2, " ".join(FAR)), (3, " ".join(OTHER))], "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()} == {1, 3}
+
+
+def grown(rng, n):
+    """Sets of shingle hashes a and b of a similarity of 0.8 or just more, a of n members."""
+    a = [rng.getrandbits(64) for _ in range(n)]
+    b = a[n - n * 8 // 9 :] if n > 8 else a[1:]
+    while 5 * len(set(a) & set(b)) > 4 * len(set(a) | set(b)) and n > 8:
+        b = [*b, rng.getrandbits(64)]
+    while 5 * len(set(a) & set(b)) < 4 * len(set(a) | set(b)):
+        b = b[:-1]
+    return [np.sort(np.array(x, dtype=np.uint64)) for x in (a, b)]
+
+
+def test_fingerprints_of_sets_at_0_8_meet_in_a_segment():
+    """For several widths of the index, similar sets share a segment and are alike by their signs; unlike ones aren't."""
+    rng = random.Random(8)
+    for n in (10, 50_000, 10**7):
+        bits, segments = jaccard.plan(n)
+        width = jaccard.SIGN + bits * segments
+        for size in (5, 9, 18, 40, 126, 700):
+            for _ in range(10):
+                a, b = grown(rng, size)
+                assert jaccard.near(len(np.intersect1d(a, b)), len(a), len(b))
+                cut = [np.unpackbits(np.frombuffer(jaccard.fingerprint(x, width), np.uint8)) for x in (a, b)]
+                cells = [x[jaccard.SIGN : width].reshape(segments, bits) for x in cut]
+                assert (cells[0] == cells[1]).all(axis=1).any(), (n, size)
+                signs = np.array([np.packbits(x[: jaccard.SIGN]) for x in cut]).view("<u8")
+                assert [sorted(g) for g in jaccard.groups(signs, np.array([len(a), len(b)]))] == [[0, 1]], (n, size)
+    assert jaccard.fingerprint(a[:3], 512) is None
+
+
+def test_pipeline_stage_goes_by_fingerprints(spark, monkeypatch):
+    """With fingerprints that are all unlike, no texts but copies meet: the links come through them."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, " ".join(BASE)), (2, " ".join(FAR)), (3, " ".join(BASE))], "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "fingerprint", lambda hashes, bits: None, raising=False)
+    assert {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()} == {1, 2}
+
+
+def test_large_clusters_go_by_groups(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HELD", 2, raising=False)
+    test_near_groups(spark)
