@@ -43,6 +43,7 @@ FIRST, ROUND = 8, 32  # segments that are read at once, at first and later
 HELD, SENT = 4096, 1 << 20  # texts of a cluster that one task compares whole; texts that are looked up by a broadcast
 PART = 255  # shingles whose bits are added up at once, in bytes
 WHOLE = 512  # texts of a bucket that are compared all with all at once
+BATCH, SLICE, PACK = 4096, 1 << 13, 32  # texts that are spread at once; lookups of a slice, and of a packed row at the least, on average
 _RANDOM = np.random.default_rng(SEED)
 _PLUS = _RANDOM.integers(0, 1 << 63, 2048, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -153,7 +154,7 @@ def _spread(bits: int, first: int, last: int, slices: int):
     def run(batches):
         powers = 1 << np.arange(bits, dtype=np.uint32)
         number = np.arange(last - first, dtype=np.uint32) << np.uint32(bits)
-        for batch in (whole.slice(at, 4096) for whole in batches for at in range(0, whole.num_rows, 4096)):
+        for batch in (whole.slice(at, BATCH) for whole in batches for at in range(0, whole.num_rows, BATCH)):
             prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             cells = np.unpackbits(prints, axis=1)[:, SIGN + first * bits : SIGN + last * bits].reshape(batch.num_rows, last - first, bits)
             rows = np.empty((batch.num_rows, last - first), dtype=_row())
@@ -222,9 +223,15 @@ def _grouped(batches):
 
 
 def members(prints: DataFrame, bits: int, first: int, last: int) -> DataFrame:
-    """bucket, key, low: groups of two or more alike sets of prints (key, bits, size) that share one of the segments first to last."""
+    """bucket, key, low: groups of two or more alike sets of prints (key, bits, size) that share one of the segments first to last.
+
+    Tasks and slices, whose product is the number of packed rows, go by the number of lookups, not by that of partitions.
+    """
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = prints.where("bits is not null").select("key", "bits", "size").mapInArrow(_spread(bits, first, last, 4 * parts), "slice int, rows binary")
+    wide = prints.where("bits is not null").select("key", "bits", "size")
+    n = wide.count()
+    slices = max(1, min(math.ceil(n * (last - first) / SLICE), BATCH * (last - first) // PACK))
+    rows = wide.coalesce(max(1, math.ceil(n / BATCH))).mapInArrow(_spread(bits, first, last, slices), "slice int, rows binary")
     return rows.repartition(parts, "slice").mapInArrow(_grouped, "bucket long, key long, low long").distinct()
 
 
@@ -239,7 +246,8 @@ def _verified(members: DataFrame, sets: DataFrame) -> DataFrame:
     """u > v: verified links of the groups members (bucket, key)."""
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     filled = members.join(sets, "key").select("bucket", "key", "hashes")
-    return filled.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_verify, "u long, v long").distinct()
+    dealt = filled.repartition(parts, F.xxhash64("bucket"))  # by the plain column, Spark may drop it after a broadcast join and then read mappers' rows, which splits buckets
+    return dealt.sortWithinPartitions("bucket").mapInArrow(_verify, "u long, v long").distinct()
 
 
 def _edges(root: DataFrame) -> DataFrame:

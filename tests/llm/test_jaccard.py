@@ -118,3 +118,40 @@ def test_pipeline_stage_goes_by_fingerprints(spark, monkeypatch):
 def test_large_clusters_go_by_groups(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "HELD", 2, raising=False)
     test_near_groups(spark)
+
+
+def test_packed_rows_go_by_lookups_not_by_partitions(spark, monkeypatch, tmp_path):
+    """Many partitions that Spark doesn't merge pack the lookups as tightly as few; every lookup is made and no link is lost."""
+    spread, made = jaccard._spread, str(tmp_path / "made")
+
+    def counted(*args):
+        def run(batches):
+            for batch in spread(*args)(batches):
+                with open(made, "a") as out:
+                    out.write("".join(f"{len(x)}\n" for x in batch.column(1).to_pylist()))
+                yield batch
+
+        return run
+
+    monkeypatch.setattr(jaccard, "_spread", counted)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(old, ("24", "false")):
+            spark.conf.set(k, v)
+        docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").repartition(24)
+        got = {r.doc_id: r.component_id for r in jaccard.near_groups(docs).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == dict(enumerate(brute_labels()))
+    sizes = [int(x) for x in open(made)]
+    sets = {frozenset(x) for x in brute_sets() if x}
+    lookups = sum(jaccard.plan(len(TEXTS))[1] for x in sets if len(x) >= jaccard.LEAST)
+    assert sum(sizes) == lookups * jaccard._row().itemsize
+    assert len(sizes) * jaccard.PACK <= lookups
+
+
+def test_many_small_slices_give_the_same_components(spark, monkeypatch):
+    for name, value in (("SLICE", 8), ("PACK", 1), ("BATCH", 5)):
+        monkeypatch.setattr(jaccard, name, value)
+    test_near_groups(spark)
